@@ -28,7 +28,8 @@ class SparseFormat:
 
     ``inherit``: ``"whitespace"``, ``"empty"`` or, with a ``marker`` of one's own,
     ``"marker"``; reading also takes a function of the cell. ``skip_rows`` counts
-    rows after the header. ``encoding`` other than UTF-8 and ``multi_line`` (line
+    rows after the header. Bytes that are not
+    UTF-8 raise, or become U+FFFD with ``strict_encoding=False``. ``encoding`` other than UTF-8 and ``multi_line`` (line
     breaks inside quotes) read a file in one task and lose blank lines; which encodings
     there are depends on Spark (``spark.sql.legacy.javaCharsets``).
     """
@@ -43,7 +44,7 @@ class SparseFormat:
     null_values: tuple[str, ...] = NULL_VALUES
     null_token: str = NULL_TOKEN
     multi_line: bool = False
-    strict_encoding: bool = False
+    strict_encoding: bool = True
     line_sep: str = "\n"
 
     def __post_init__(self):
@@ -284,7 +285,7 @@ def _parse(
         if fmt.strict_encoding:
             bad = F.concat(F.col("__file"), F.lit(": bytes that are not UTF-8"))
             lines = lines.withColumn(
-                "value", F.when(F.col("value").contains("�"), F.raise_error(bad)).otherwise(F.col("value"))
+                "value", F.when(~F.is_valid_utf8("value"), F.raise_error(bad)).otherwise(F.col("value"))
             )
         parsed_ = lines.withColumn("r", F.from_csv("value", schema, _text_options(fmt)))
         return parsed_.select("__file", "__block", "__pos", "r.*").select("*", like_header)

@@ -139,7 +139,8 @@ def test_quoted_line_breaks_and_other_encodings(spark, put):
     path = put("a,b\nüé,1\n,2\n", encoding="latin-1")
     assert read(spark, path, encoding="latin-1") == [("üé", 1), ("üé", 2)]
     with pytest.raises(Exception, match="not UTF-8"):
-        read(spark, path, strict_encoding=True)
+        read(spark, path)
+    assert read(spark, path, strict_encoding=False) == [("\ufffd\ufffd", 1), ("\ufffd\ufffd", 2)]
 
 
 def test_files_start_anew_and_rows_are_numbered_over_all(spark, put, tmp_path):
