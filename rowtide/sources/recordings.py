@@ -548,4 +548,4 @@ def _policy(on_bad_file: str) -> str:
 
 def frame_time(column: str = "time_ns") -> F.Column:
     """Timestamp of a nanosecond count since 1970; the last three digits are lost."""
-    return F.timestamp_micros(F.floor(F.col(column) / 1000).cast("bigint"))
+    return F.timestamp_micros(F.expr(f"cast(`{column}` as decimal(20,0)) div 1000"))
