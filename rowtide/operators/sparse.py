@@ -11,7 +11,16 @@ from pyspark.sql import types as T
 from rowtide.functions.markers import Inherit, inherits
 from rowtide.functions.text import to_text
 from rowtide.functions.typing import NULL_VALUES, null_mapped
-from rowtide.plans.order import COPIES, PREV, OrderedRows, fill_forward, order_rows, with_previous
+from rowtide.plans.order import (
+    CHUNK,
+    COPIES,
+    PREV,
+    OrderedRows,
+    fill_forward,
+    order_rows,
+    quoted,
+    with_previous,
+)
 
 NULL_TOKEN = "NULL"
 
@@ -54,17 +63,15 @@ def expand_rows(
     return filled
 
 
-def repeats_above(rows: OrderedRows, cols: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """Rows with one flag per column: the cell equals the one above.
+def repeats_above(rows: OrderedRows, cols: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with, as SQL text per column, whether the cell equals the one above.
 
     NULL equals NULL and NaN equals NaN. The first row repeats nothing; the second and
     later ones of collapsed copies repeat everything.
     """
-    df = with_previous(rows, cols)
-    later_copy = F.col("__rt_chunk") > 0 if rows.copies else F.lit(False)
-    return df, {
-        c: later_copy | (F.col(PREV).isNotNull() & F.col(c).eqNullSafe(F.col(PREV).getField(c)))
-        for c in cols
+    later_copy = f"{CHUNK} > 0" if rows.copies else "false"
+    return with_previous(rows, cols), {
+        c: f"({later_copy} or ({PREV} is not null and {quoted(c)} <=> {PREV}.{quoted(c)}))" for c in cols
     }
 
 
@@ -124,7 +131,7 @@ def sparse_rows(
             broken = F.col(c).contains("\n") | F.col(c).contains("\r")
             text = F.when(broken, F.raise_error(message).cast("string")).otherwise(text)
         value = F.when(F.col(c).isNull(), F.lit(null_token)).otherwise(text)
-        written[f"__rt_w_{c}"] = F.when(repeats[c], F.lit(marker)).otherwise(value)
+        written[f"__rt_w_{c}"] = F.when(F.expr(repeats[c]), F.lit(marker)).otherwise(value)
     df = rows.repeat(df.withColumns(written))
     cells = {c: F.col(f"__rt_w_{c}") for c in cols}
     if rows.copies:
@@ -144,26 +151,26 @@ def sparsity_stats(
     cols = list(df.columns if cols is None else cols)
     types = {c: df.schema[c].dataType for c in cols}
     flagged, repeats = repeats_above(rows, cols)
-    weight = F.col(rows.copies) if rows.copies else F.lit(1)
-    sums = []
-    for i, c in enumerate(cols):
-        text = F.coalesce(to_text(F.col(c), types[c]), F.lit(NULL_TOKEN))
-        elided = F.when(repeats[c], weight).otherwise(weight - 1).cast("bigint")
-        sums.append(F.sum(elided).alias(f"e{i}"))
-        sums.append(F.sum(elided * F.octet_length(text)).alias(f"b{i}"))
-    totals = flagged.agg(F.sum(weight.cast("bigint")).alias("n"), *sums)
-    lines = F.array(
+    weight = rows.copies or "1"
+    for c in cols:
+        to_text(F.col(quoted(c)), types[c])  # refuses types without a text form
+    flagged = flagged.selectExpr(
+        f"cast({weight} as bigint) as __rt_rows",
+        *[f"cast(case when {repeats[c]} then {weight} else {weight} - 1 end as bigint) as e{i}" for i, c in enumerate(cols)],
         *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.coalesce(F.col("n"), F.lit(0)).alias("rows"),
-                F.coalesce(F.col(f"e{i}"), F.lit(0)).alias("cells_elided"),
-                F.coalesce(F.col(f"b{i}"), F.lit(0)).alias("bytes_saved"),
-            )
+            f"cast(octet_length(coalesce(cast({quoted(c)} as string), '{NULL_TOKEN}')) as bigint) as b{i}"
             for i, c in enumerate(cols)
-        ]
+        ],
+    )
+    n = len(cols)
+    totals = flagged.selectExpr(
+        "coalesce(sum(__rt_rows), 0) as n",
+        *[f"coalesce(sum(e{i}), 0) as e{i}" for i in range(n)],
+        *[f"coalesce(sum(e{i} * b{i}), 0) as b{i}" for i in range(n)],
     )
-    return totals.select(F.inline(lines))
+    names = [c.replace("\\", "\\\\").replace("'", "\\'") for c in cols]
+    lines = ", ".join(f"'{c}', n, e{i}, b{i}" for i, c in enumerate(names))
+    return totals.selectExpr(f"stack({n}, {lines}) as (column, rows, cells_elided, bytes_saved)")
 
 
 def compare_orders(

@@ -18,7 +18,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = "__rt_block"
@@ -54,15 +54,17 @@ class OrderedRows:
     def with_df(self, df: DataFrame) -> OrderedRows:
         return replace(self, df=df)
 
-    def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.group, *self.blocks).orderBy(*self.order)
+    def over(self, frame: str = "") -> str:
+        """Window within a block, as SQL text."""
+        keys = sql_list(self.group + self.blocks)
+        return f"over (partition by {keys} order by {sql_list(self.order)} {frame})"
 
-    def position(self) -> Column:
-        """The order key as one comparable value."""
-        return F.col(self.order[0]) if len(self.order) == 1 else F.struct(*self.order)
+    def position(self) -> str:
+        """The order key as one comparable value, as SQL text."""
+        return quoted(self.order[0]) if len(self.order) == 1 else f"struct({sql_list(self.order)})"
 
-    def row_count(self) -> Column:
-        return F.sum(self.copies) if self.copies else F.count(F.lit(1))
+    def row_count(self) -> str:
+        return f"sum({self.copies})" if self.copies else "count(1)"
 
     def repeat(self, df: DataFrame) -> DataFrame:
         """Turn collapsed rows back into as many equal rows."""
@@ -71,6 +73,15 @@ class OrderedRows:
         return df.withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(self.copies).cast("int"))))
 
 
+def quoted(name: str) -> str:
+    """The column name in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_list(names: Sequence[str]) -> str:
+    return ", ".join(map(quoted, names))
+
+
 def order_rows(
     df: DataFrame,
     order_by: Sequence[str] | str | None = None,
@@ -81,10 +92,10 @@ def order_rows(
     """Give ``df`` an order and cut it into evenly filled blocks.
 
     ``order_by`` must be unique within ``partition_by``. Where it is not, pass
-    ``unique=False``: ties are then ordered by the remaining columns, and equal rows
-    are collapsed into counted chunks before any shuffle by block, so that neither a
-    hot key nor a hot group of copies ends up in one block. ``order_by=None`` means
-    all columns, with copies. Ascending order, NULL first.
+    ``unique=False``: ties are then ordered by the remaining columns. ``order_by=None``
+    means all columns. If the sample shows a row with copies enough to overfill a
+    block, equal rows are collapsed into counted chunks before any shuffle by block,
+    so that a hot group of copies is spread like all else. Ascending, NULL first.
 
     Runs a count and a sample of the key columns to choose the block borders.
     """
@@ -101,42 +112,37 @@ def order_rows(
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         blocks = min(MAX_BLOCKS, partitions * BLOCKS_PER_PARTITION, rows // ROWS_PER_BLOCK)
 
-    keys = group + order if unique else group + order + (CHUNK,)
-    borders = None
-    if blocks > 1 and rows:
-        borders = _borders(df, keys, rows, blocks)
-
-    if not unique:
+    borders = _borders(df, group + order, rows, blocks, unique) if blocks > 1 and rows else None
+    collapse = borders is not None and CHUNK in borders.keys
+    if collapse:
         df = _collapse_copies(df)
         order += (CHUNK,)
-    if borders:
-        df = _locate(df, borders)
-    else:
-        df = df.withColumn(BLOCK, F.lit(0))
+    df = _locate(df, borders) if borders else df.withColumn(BLOCK, F.lit(0))
     return OrderedRows(
         df=df,
         group=group,
         blocks=(BLOCK,),
         order=order,
         columns=columns,
-        copies=None if unique else COPIES,
+        copies=COPIES if collapse else None,
         single_block=not borders,
         total=rows,
     )
 
 
-def block_table(rows: OrderedRows, *aggregates: Column) -> DataFrame:
-    """One row per block (and group)."""
-    return rows.df.groupBy(*rows.group, *rows.blocks).agg(*aggregates)
+BEFORE = "rows between unbounded preceding and 1 preceding"
+UP_TO = "rows between unbounded preceding and current row"
 
 
-def before_block(rows: OrderedRows) -> WindowSpec:
-    """Window over the block table: all earlier blocks of the same group."""
-    return (
-        Window.partitionBy(*rows.group)
-        .orderBy(*rows.blocks)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+def block_table(rows: OrderedRows, *aggregates: str) -> DataFrame:
+    """One row per block (and group); aggregates as SQL text."""
+    return rows.df.groupBy(*rows.group, *rows.blocks).agg(*map(F.expr, aggregates))
+
+
+def over_blocks(rows: OrderedRows, frame: str = "") -> str:
+    """Window over the blocks of a group, in the block table."""
+    group = f"partition by {sql_list(rows.group)}" if rows.group else ""
+    return f"over ({group} order by {sql_list(rows.blocks)} {frame})"
 
 
 def join_blocks(
@@ -144,68 +150,54 @@ def join_blocks(
 ) -> DataFrame:
     """Join columns of a block table to the rows; NULL is a group like any other."""
     keys = rows.group + rows.blocks
-    renamed = table.select(
-        *[F.col(c).alias(f"__rt_k{i}") for i, c in enumerate(keys)], *values
-    )
-    condition = None
-    for i, c in enumerate(keys):
-        same = (
-            F.col(c).eqNullSafe(F.col(f"__rt_k{i}"))
-            if c in rows.group
-            else F.col(c) == F.col(f"__rt_k{i}")
-        )
-        condition = same if condition is None else condition & same
-    joined = df.join(renamed, condition, how)
+    renamed = table.selectExpr(*[f"{quoted(c)} as __rt_k{i}" for i, c in enumerate(keys)], *values)
+    same = [f"{quoted(c)} {'<=>' if c in rows.group else '='} __rt_k{i}" for i, c in enumerate(keys)]
+    joined = df.join(renamed, F.expr(" and ".join(same)), how)
     return joined.drop(*[f"__rt_k{i}" for i in range(len(keys))])
 
 
-def carried(rows: OrderedRows, aggregates: dict[str, Column], over: dict[str, Column]) -> DataFrame:
-    """Block table with values carried over from earlier blocks.
+def carried(rows: OrderedRows, aggregates: dict[str, str]) -> DataFrame:
+    """Block table with, per aggregate, its last non-NULL value in earlier blocks.
 
     Only blocks which continue a group are kept: at most one row per block border,
     however many groups there are.
     """
-    table = block_table(rows, *[c.alias(n) for n, c in aggregates.items()])
-    spec = Window.partitionBy(*rows.group).orderBy(*rows.blocks)
-    return table.select(
-        *rows.group,
-        *rows.blocks,
-        *[c.over(before_block(rows)).alias(n) for n, c in over.items()],
-        F.row_number().over(spec).alias("__rt_nth"),
+    table = block_table(rows, *[f"{e} as {n}" for n, e in aggregates.items()])
+    return table.selectExpr(
+        *map(quoted, rows.group + rows.blocks),
+        *[f"last({n}, true) {over_blocks(rows, BEFORE)} as {n}" for n in aggregates],
+        f"row_number() {over_blocks(rows)} as __rt_nth",
     ).where("__rt_nth > 1")
 
 
 def fill_forward(rows: OrderedRows, values: dict[str, Column]) -> DataFrame:
     """For each name, the last non-NULL value up to and including the row."""
     cells = [f"__rt_v{i}" for i in range(len(values))]
+    others = [quoted(c) for c in rows.df.columns if c not in values]
     df = rows.df.withColumns(dict(zip(cells, values.values())))
-    running = rows.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = df.withColumns(
-        {n: F.last(c, ignorenulls=True).over(running) for n, c in zip(values, cells)}
-    ).drop(*cells)
+    local = df.selectExpr(
+        *others,
+        *[f"last({c}, true) {rows.over(UP_TO)} as {quoted(n)}" for n, c in zip(values, cells)],
+    )
     if rows.single_block:
         return local
     at = rows.position()
     table = carried(
-        rows.with_df(df),
-        {c: F.max_by(c, F.when(F.col(c).isNotNull(), at)) for c in cells},
-        {c: F.last(c, ignorenulls=True) for c in cells},
+        rows.with_df(df), {c: f"max_by({c}, case when {c} is not null then {at} end)" for c in cells}
     )
     joined = join_blocks(local, rows, table, cells, "left")
-    return joined.withColumns({n: F.coalesce(n, c) for n, c in zip(values, cells)}).drop(*cells)
+    return joined.selectExpr(
+        *others, *[f"coalesce({quoted(n)}, {c}) as {quoted(n)}" for n, c in zip(values, cells)]
+    )
 
 
 def with_previous(rows: OrderedRows, columns: Sequence[str]) -> DataFrame:
     """Add ``PREV``, a struct of the columns in the row above; NULL in the first row."""
-    cells = F.struct(*columns)
-    local = rows.df.withColumn(PREV, F.lag(cells).over(rows.window()))
+    cells = f"struct({sql_list(columns)})"
+    local = rows.df.selectExpr("*", f"lag({cells}) {rows.over()} as {PREV}")
     if rows.single_block:
         return local
-    table = carried(
-        rows,
-        {"__rt_last": F.max_by(cells, rows.position())},
-        {"__rt_last": F.last("__rt_last")},
-    )
+    table = carried(rows, {"__rt_last": f"max_by({cells}, {rows.position()})"})
     joined = join_blocks(local, rows, table, ["__rt_last"], "left")
     return joined.withColumn(PREV, F.coalesce(PREV, "__rt_last")).drop("__rt_last")
 
@@ -213,13 +205,12 @@ def with_previous(rows: OrderedRows, columns: Sequence[str]) -> DataFrame:
 def offsets(rows: OrderedRows) -> DataFrame:
     """Block table with ``__rt_start`` (rows before the block), ``__rt_count`` and the
     rows of the whole group, ``__rt_total``."""
-    table = block_table(rows, rows.row_count().alias("__rt_count"))
-    group = Window.partitionBy(*rows.group)
-    return table.withColumns(
-        {
-            "__rt_start": F.coalesce(F.sum("__rt_count").over(before_block(rows)), F.lit(0)),
-            "__rt_total": F.sum("__rt_count").over(group),
-        }
+    table = block_table(rows, f"{rows.row_count()} as __rt_count")
+    everywhere = "rows between unbounded preceding and unbounded following"
+    return table.selectExpr(
+        "*",
+        f"coalesce(sum(__rt_count) {over_blocks(rows, BEFORE)}, 0) as __rt_start",
+        f"sum(__rt_count) {over_blocks(rows, everywhere)} as __rt_total",
     )
 
 
@@ -239,11 +230,10 @@ def with_row_index(
         table = offsets(rows)
     df = join_blocks(rows.df, rows, table, ["__rt_start", "__rt_total"], "inner")
     if rows.copies:
-        running = rows.window().rowsBetween(Window.unboundedPreceding, -1)
-        within = F.coalesce(F.sum(rows.copies).over(running), F.lit(0))
+        within = f"coalesce(sum({rows.copies}) {rows.over(BEFORE)}, 0)"
     else:
-        within = F.row_number().over(rows.window()).cast("bigint") - 1
-    df = df.withColumn(name, F.col("__rt_start") + within)
+        within = f"cast(row_number() {rows.over()} as bigint) - 1"
+    df = df.withColumn(name, F.expr(f"__rt_start + {within}"))
     df = rows.repeat(df)
     if rows.copies:
         df = df.withColumn(name, F.col(name) + F.col(COPIES) - 1)
@@ -259,14 +249,10 @@ def _names(columns: Sequence[str] | str) -> tuple[str, ...]:
 def _collapse_copies(df: DataFrame) -> DataFrame:
     """Equal rows become one row per ``COPIES_PER_CHUNK`` copies, counted."""
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__rt_n"))
-    last = F.floor((F.col("__rt_n") - 1) / COPIES_PER_CHUNK)
-    return (
-        counted.withColumn(CHUNK, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .withColumn(
-            COPIES,
-            F.least(F.lit(COPIES_PER_CHUNK), F.col("__rt_n") - F.col(CHUNK) * COPIES_PER_CHUNK),
-        )
-        .drop("__rt_n")
+    size = COPIES_PER_CHUNK
+    chunked = counted.selectExpr("*", f"explode(sequence(0L, (__rt_n - 1) div {size})) as {CHUNK}")
+    return chunked.selectExpr(
+        *map(quoted, df.columns), CHUNK, f"least({size}, __rt_n - {CHUNK} * {size}) as {COPIES}"
     )
 
 
@@ -277,51 +263,58 @@ class _Borders:
     texts: tuple[tuple[str | None, ...], ...]  # one list of values per key
 
 
-def _borders(df: DataFrame, keys: tuple[str, ...], rows: int, blocks: int) -> _Borders | None:
+def _borders(
+    df: DataFrame, keys: tuple[str, ...], rows: int, blocks: int, unique: bool
+) -> _Borders | None:
     """Evenly spaced values of the shortest sufficient prefix of the order key.
 
     A prefix will do when none of its values holds more than two blocks' worth of
-    rows. The sample has ``SAMPLES_PER_BLOCK`` rows per block, whatever the table's
-    size, and its sorted keys are what reaches the driver.
+    rows; beyond the whole key there are only copies to be told apart, by chunk. The
+    sample has ``SAMPLES_PER_BLOCK`` rows per block, whatever the table's size, and
+    its sorted keys are what reaches the driver.
     """
-    wanted = blocks * SAMPLES_PER_BLOCK
-    fraction = min(1.0, wanted / rows)
-    real = [k for k in keys if k != CHUNK]
-    sample = df.select(*real)
+    fraction = min(1.0, blocks * SAMPLES_PER_BLOCK / rows)
+    sample = df.select(*keys)
     if fraction < 1.0:
         sample = sample.sample(fraction, seed=7)
-    if CHUNK in keys:
-        # the j-th equal row of the sample stands for the copies around j / fraction
-        nth = F.row_number().over(Window.partitionBy(*real).orderBy(F.lit(1))) - 1
-        sample = sample.withColumn(CHUNK, F.floor(nth / fraction / COPIES_PER_CHUNK))
     sample = sample.persist()
     try:
         for length in range(1, len(keys) + 1):
             prefix = keys[:length]
-            counted = (
-                sample.groupBy(*prefix)
-                .agg(F.count(F.lit(1)).alias("__rt_n"))
-                .coalesce(1)
-                .sortWithinPartitions(*prefix)
-                .select(*[F.col(k).cast("string").alias(k) for k in prefix], "__rt_n")
-                .collect()
-            )
+            counted = _counted(sample, prefix)
             size = sum(r["__rt_n"] for r in counted)
             per_block = max(1, size // blocks)
-            if length == len(keys) or max((r["__rt_n"] for r in counted), default=0) <= 2 * per_block:
+            if max((r["__rt_n"] for r in counted), default=0) <= 2 * per_block:
                 break
-        types = tuple(sample.schema[k].dataType.simpleString() for k in prefix)
+        else:
+            if not unique:
+                # the j-th equal row of the sample stands for the copies around j / fraction
+                nth = f"(row_number() over (partition by {sql_list(keys)} order by 1) - 1)"
+                chunk = F.expr(f"floor({nth} / {fraction!r}D / {COPIES_PER_CHUNK})")
+                prefix = keys + (CHUNK,)
+                counted = _counted(sample.withColumn(CHUNK, chunk), prefix)
+        types = tuple("bigint" if k == CHUNK else sample.schema[k].dataType.simpleString() for k in prefix)
     finally:
         sample.unpersist()
     cuts, filled = [], 0
     for r in counted:
-        if filled >= per_block and (length > 1 or r[0] is not None):
+        if filled >= per_block and (len(prefix) > 1 or r[0] is not None):
             cuts.append(tuple(r)[:-1])
             filled = 0
         filled += r["__rt_n"]
-    if not cuts:
-        return None
-    return _Borders(prefix, types, tuple(zip(*cuts)))
+    return _Borders(prefix, types, tuple(zip(*cuts))) if cuts else None
+
+
+def _counted(sample: DataFrame, prefix: tuple[str, ...]) -> list:
+    """Values of a key prefix in the sample with their counts, in order, as text."""
+    return (
+        sample.groupBy(*prefix)
+        .agg(F.count(F.lit(1)).alias("__rt_n"))
+        .coalesce(1)
+        .sortWithinPartitions(*prefix)
+        .selectExpr(*[f"cast({quoted(k)} as string)" for k in prefix], "__rt_n")
+        .collect()
+    )
 
 
 def _locate(df: DataFrame, borders: _Borders) -> DataFrame:
@@ -345,10 +338,11 @@ def _locate(df: DataFrame, borders: _Borders) -> DataFrame:
         key = F.struct(*[F.col(k).alias(n) for k, n in zip(borders.keys, names)])
     count = len(borders.texts[0])
     step = 1 << (count.bit_length() - 1)
-    df = df.withColumn(BLOCK, F.lit(0))
+    columns = list(map(quoted, df.columns))
+    df = df.select("*", F.lit(0).alias(BLOCK), bounds.alias("__rt_bounds"), key.alias("__rt_key"))
     while step:
-        probe = F.col(BLOCK) + step
-        found = (probe <= count) & (F.get(bounds, probe - 1) <= key)
-        df = df.withColumn(BLOCK, F.when(found, probe).otherwise(F.col(BLOCK)))
+        found = f"{BLOCK} + {step} <= {count} and get(__rt_bounds, {BLOCK} + {step - 1}) <= __rt_key"
+        block = f"case when {found} then {BLOCK} + {step} else {BLOCK} end as {BLOCK}"
         step //= 2
+        df = df.selectExpr(*columns, block, *(["__rt_bounds", "__rt_key"] if step else []))
     return df
