@@ -22,7 +22,9 @@ def inherits(cell: Column, mode: Inherit = "whitespace") -> Column:
     if callable(mode):
         return cell.isNull() | F.coalesce(mode(cell), F.lit(False))
     if mode == "whitespace":
-        return cell.isNull() | (F.btrim(cell, F.lit(WHITESPACE)) == "")
+        # only cells starting below "!" or outside ASCII can be blank: most are not trimmed
+        may_be_blank = (cell < "!") | (cell >= "\x80")
+        return cell.isNull() | (may_be_blank & (F.btrim(cell, F.lit(WHITESPACE)) == ""))
     if mode == "empty":
         return cell.isNull() | (cell == "")
     raise ValueError(f"unknown inherit mode {mode!r}: use 'whitespace', 'empty' or a function")

@@ -14,7 +14,8 @@ NULL_VALUES = ("", "NULL", "null", "None", "NA", "N/A")
 TRUE_WORDS = ("true", "True", "TRUE", "yes", "Yes", "YES", "1")
 FALSE_WORDS = ("false", "False", "FALSE", "no", "No", "NO", "0")
 
-# number forms; Java's own parser would also take "1d" and "0x1p3"
+# number forms; a failing cast costs far more than a pattern, and Java's own parser
+# would also take "1d" and "0x1p3"
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _FLOAT = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
 
@@ -94,15 +95,24 @@ def infer_types(
         cells = {c: null_mapped(F.col(c)) for c in df.columns}
     if not cells:
         return {}
-    counts = []
-    for i, cell in enumerate(cells.values()):
-        counts.append(F.count(cell).alias(f"n{i}"))
-        counts += [F.count(parsed(cell, t)).alias(f"{t}{i}") for t in TYPES[:-1]]
-    found = df.agg(*counts).first()
+    # per cell the types it fits, as bits 1, 2, 4; a column has those all its cells share
+    both = ", ".join(f"'{w}'" for w in ("1", "0"))
+    words = ", ".join(f"'{w}'" for w in TRUE_WORDS + FALSE_WORDS)
+    fits = (
+        "case when {c} is null then null"
+        f" when {{c}} rlike r'{_INTEGER}' and (length({{c}}) < 19 or try_cast({{c}} as bigint) is not null)"
+        f" then if({{c}} in ({both}), 7, 3)"
+        f" when {{c}} in ({words}) then 4"
+        f" when {{c}} rlike r'{_FLOAT}' then 2 else 0 end"
+    )
+    n = len(cells)
+    texts = df.select(*[cell.alias(f"c{i}") for i, cell in enumerate(cells.values())])
+    shared = texts.selectExpr(*[f"{fits.replace('{c}', f'c{i}')} as f{i}" for i in range(n)]).agg(
+        *[F.expr(f"bit_and(f{i})") for i in range(n)]
+    )
     result = {}
-    for i, name in enumerate(cells):
-        total = found[f"n{i}"]
-        fitting = [t for t in TYPES[:-1] if total and found[f"{t}{i}"] == total]
+    for name, bits in zip(cells, shared.first()):
+        fitting = [t for t, bit in zip(TYPES, (1, 2, 4)) if bits and bits & bit]
         result[name] = fitting[0] if fitting else "string"
     return result
 

@@ -106,7 +106,7 @@ def _chained(
         held: list[pd.DataFrame] = []
         rows, limit = 0, _PRUNE_ROWS
         for pdf in batches:
-            held.append(_with_sums(pdf, groups))
+            held.append(_with_sums(pdf))
             rows += len(pdf)
             if rows >= limit:
                 pruned = _pruned(pd.concat(held, ignore_index=True), groups)
@@ -122,7 +122,7 @@ def _chained(
     return _chain_all(candidates, s_cols, k_cols, chain_rows)
 
 
-def _with_sums(pdf: pd.DataFrame, groups: list[str]) -> pd.DataFrame:
+def _with_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     """Every point counts itself; pruned points leave their sums to a point kept."""
     return pdf.assign(points=1, sx=pdf["x"], sy=pdf["y"])
 
@@ -217,6 +217,9 @@ def _chain_all(candidates: DataFrame, s_cols: list[str], k_cols: list[str], limi
             mine = mine & F.col(c).eqNullSafe(F.lit(row[c]))
         small = small.where(~mine)
         kept += _chain_in_steps(candidates.where(mine), names, limit)
+    if s_cols:  # by number: few bytes per series, but work enough for all tasks
+        parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        small = small.repartition(parts, *s_cols)
     chosen = small.groupBy(*s_cols).applyInPandas(chain, schema)
     if kept:
         chosen = chosen.unionByName(candidates.sparkSession.createDataFrame(kept, schema))

@@ -50,6 +50,7 @@ class OrderedRows:
     copies: str | None = None
     single_block: bool = False
     total: int | None = None  # all rows, where counted
+    null_groups: bool = True  # a group column may be NULL
 
     def with_df(self, df: DataFrame) -> OrderedRows:
         return replace(self, df=df)
@@ -148,10 +149,14 @@ def over_blocks(rows: OrderedRows, frame: str = "") -> str:
 def join_blocks(
     df: DataFrame, rows: OrderedRows, table: DataFrame, values: Sequence[str], how: str
 ) -> DataFrame:
-    """Join columns of a block table to the rows; NULL is a group like any other."""
+    """Join columns of a block table to the rows; NULL is a group like any other.
+
+    Rows already shuffled by block for a window need no further shuffle for the join.
+    """
     keys = rows.group + rows.blocks
     renamed = table.selectExpr(*[f"{quoted(c)} as __rt_k{i}" for i, c in enumerate(keys)], *values)
-    same = [f"{quoted(c)} {'<=>' if c in rows.group else '='} __rt_k{i}" for i, c in enumerate(keys)]
+    safe = rows.group if rows.null_groups else ()
+    same = [f"{quoted(c)} {'<=>' if c in safe else '='} __rt_k{i}" for i, c in enumerate(keys)]
     joined = df.join(renamed, F.expr(" and ".join(same)), how)
     return joined.drop(*[f"__rt_k{i}" for i in range(len(keys))])
 

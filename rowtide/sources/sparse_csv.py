@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from rowtide.functions.markers import Inherit, equal_to, inherits
 from rowtide.functions.typing import NULL_VALUES, hinted, infer_types, null_mapped, parsed, type_name
-from rowtide.operators.sparse import NULL_TOKEN, expand_rows, sparse_rows
-from rowtide.plans.order import OrderedRows, join_blocks, order_rows
+from rowtide.operators.sparse import NULL_TOKEN, sparse_rows
+from rowtide.plans.order import OrderedRows, fill_forward, join_blocks, order_rows
 from rowtide.plans.staging import stage
 
 
@@ -102,17 +102,16 @@ def read_sparse_csv(
     rows = _numbered(staged, fmt, cells)
 
     # typing looks at the cells as written: the fill only repeats them
-    mode = fmt.mode()
     untyped = [(c, n) for c, n in zip(cells, names) if n not in hints]
     types = {}
     if infer and untyped:
         found = infer_types(
             rows.df,
-            {c: null_mapped(F.when(~inherits(F.col(c), mode), F.col(c)), fmt.null_values) for c, _ in untyped},
+            {c: null_mapped(F.col(c), fmt.null_values) for c, _ in untyped},
         )
         types = {n: found[c] for c, n in untyped}
 
-    filled = expand_rows(rows, cells, mode)
+    filled = fill_forward(rows, {c: F.col(c) for c in cells})
     result = [F.col("__row").alias(row_index)] if row_index else []
     for c, n in zip(cells, names):
         cell = null_mapped(F.col(c), fmt.null_values)
@@ -266,11 +265,14 @@ def _column_names(
 def _parse(
     spark: SparkSession, path, fmt: SparseFormat, cells: list[str], header: list[str]
 ) -> DataFrame:
-    """Every record as text cells, with its file, split and running number."""
+    """Every record as text cells, with its file, split and running number; inherit
+    markers are NULL from here on."""
     like_header = F.lit(True)
     for c, name in zip(cells, header):
         like_header = like_header & (F.coalesce(F.col(c), F.lit("")) == name)
-    like_header = like_header.alias("__like_header")
+    mode = fmt.mode()
+    kept = [F.when(~inherits(F.col(c), mode), F.col(c)).alias(c) for c in cells]
+    kept.append(like_header.alias("__like_header"))
     paths = [path] if isinstance(path, str) else list(path)
     schema = ", ".join(f"{c} string" for c in cells)
     place = [
@@ -288,11 +290,11 @@ def _parse(
                 "value", F.when(~F.is_valid_utf8("value"), F.raise_error(bad)).otherwise(F.col("value"))
             )
         parsed_ = lines.withColumn("r", F.from_csv("value", schema, _text_options(fmt)))
-        return parsed_.select("__file", "__block", "__pos", "r.*").select("*", like_header)
+        return parsed_.select("__file", "__block", "__pos", "r.*").select("__file", "__block", "__pos", *kept)
     reader = spark.read.schema(schema).options(**_text_options(fmt))
     reader = reader.option("multiLine", fmt.multi_line).option("encoding", fmt.charset)
     reader = reader.option("enforceSchema", True)
-    return reader.csv(paths).select(*place, *cells).select("*", like_header)
+    return reader.csv(paths).select(*place, *cells).select("__file", "__block", "__pos", *kept)
 
 
 def _numbered(staged: DataFrame, fmt: SparseFormat, cells: list[str]) -> OrderedRows:
@@ -318,7 +320,10 @@ def _numbered(staged: DataFrame, fmt: SparseFormat, cells: list[str]) -> Ordered
         blocks=("__block",),
         order=("__pos",),
         columns=tuple(cells),
+        null_groups=False,
     )
+    # written out, the table has a known size: small enough, it is broadcast
+    splits = stage(splits, "splits")
     located = join_blocks(staged, rows, splits, ["__first", "__skip", "__start", "__before"], "inner")
     at = F.col("__pos") - F.col("__first")
     wanted = at >= F.col("__skip")
