@@ -34,10 +34,13 @@ from rowtide.operators.sampling import (  # noqa: E402
 )
 from rowtide.operators.sparse import (  # noqa: E402
     compare_orders,
+    expand_rows,
     expand_sparse,
+    sparse_rows,
     sparsify,
     sparsity_stats,
 )
+from rowtide.plans.order import order_rows  # noqa: E402
 from rowtide.plans.staging import scratch_path  # noqa: E402
 from rowtide.sources.recording_import import (  # noqa: E402
     import_recordings,
@@ -75,6 +78,16 @@ def sparsify_events(spark, sf_dir):
 
 
 def expand_events(spark, sf_dir):
+    """Sparsify and expand in one order: the rows are cut into blocks once."""
+    events = _table(spark, sf_dir, "events").select("event_id", *EVENT_CELLS)
+    rows = order_rows(events, "event_id")
+    sparse = rows.with_df(sparse_rows(rows, EVENT_CELLS))
+    full = expand_rows(sparse, EVENT_CELLS, null_values=["NULL"])
+    return full.select("event_id", F.col("user_id").cast("bigint").alias("user_id"), "event_type", "props")
+
+
+def expand_sparse_events(spark, sf_dir):
+    """The same from a sparse table whose order is not known yet."""
     sparse = sparsify_events(spark, sf_dir)
     full = expand_sparse(sparse, "event_id", null_values=["NULL"])
     return full.withColumn("user_id", F.col("user_id").cast("bigint"))
@@ -572,6 +585,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "sparsify_events": _sparse_sql(EVENT_CELLS),
         "expand_events": _fill_sql(),
+        "expand_sparse_events": _fill_sql(),
         "expand_last_purchase_by_user": _PURCHASES,
         "expand_orders_by_priority": """
             SELECT o_orderkey, o_orderdate, o_orderpriority,
@@ -706,7 +720,7 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator and form; each takes (spark, sf_dir)."""
     functions = [
-        sparsify_events, expand_events, expand_last_purchase_by_user, expand_orders_by_priority,
+        sparsify_events, expand_events, expand_sparse_events, expand_last_purchase_by_user, expand_orders_by_priority,
         expand_events_aggregate, sparsify_lineitem, sparsity_stats_events, sparsity_stats_lineitem,
         compare_orders_lineitem, range_orders_key, range_orders_price, range_events_value_below,
         range_parts_text, row_numbers_orders, rowid_range_orders, rowid_set_documents, rowid_range_lineitem,

@@ -50,8 +50,13 @@ def null_mapped(cell: Column, null_values: Sequence[str] = NULL_VALUES) -> Colum
     return F.when(~cell.isin(*null_values), cell)
 
 
-def parsed(cell: Column, type_: str) -> Column:
-    """The cell under a type, NULL where it does not have that form."""
+def parsed(cell: Column, type_: str, sure: bool = False) -> Column:
+    """The cell under a type, NULL where it does not have that form.
+
+    ``sure``: every cell is known to have it, as after inference.
+    """
+    if sure and type_ in ("bigint", "double"):
+        return cell.try_cast(type_)
     if type_ == "bigint":
         return F.when(cell.rlike(_INTEGER), cell).try_cast("bigint")
     if type_ == "double":
@@ -138,7 +143,7 @@ def typed_columns(
         {
             c: hinted(cells[c], hints[c], c, F.col(row) if row else None, on_error)
             if c in hints
-            else parsed(cells[c], inferred.get(c, "string"))
+            else parsed(cells[c], inferred.get(c, "string"), sure=True)
             for c in columns
         }
     )

@@ -168,32 +168,41 @@ def hull_candidates(code: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarra
     return keep
 
 
-def _chain(pdf: pd.DataFrame, start: tuple[float, float] | None, last: int | None) -> pd.DataFrame:
+def _chain(
+    pdf: pd.DataFrame, start: tuple[float, float] | None, after: tuple[float, float] | None
+) -> pd.DataFrame:
     """Walk the buckets of one series in order and keep one point of each.
 
-    ``start`` is the point kept before the first bucket given; buckets after ``last``
-    only lend their mean.
+    ``start`` is the point kept before the first bucket given, ``after`` the mean of
+    the bucket behind the last one; None at the ends of the series.
     """
     pdf = pdf.sort_values(["b", "i"], kind="stable")
     b, x, y = (pdf[c].to_numpy() for c in ("b", "x", "y"))
     begin = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     end = np.r_[begin[1:], len(b)]
     count = np.add.reduceat(pdf["points"].to_numpy(), begin)
-    mean_x = np.add.reduceat(pdf["sx"].to_numpy(), begin) / count
-    mean_y = np.add.reduceat(pdf["sy"].to_numpy(), begin) / count
+    means = [np.add.reduceat(pdf[c].to_numpy(), begin) / count for c in ("sx", "sy")]
+    following = list(zip(means[0][1:], means[1][1:])) + [after]
     kept, at = [], start
-    for n, (lo, hi) in enumerate(zip(begin, end)):
-        if last is not None and b[lo] > last:
-            break
-        if at is None or n + 1 == len(begin):
+    for lo, hi, mean in zip(begin, end, following):
+        if at is None or mean is None:
             pick = lo  # the first and the last bucket have one point
         else:
-            pick = lo + int(np.argmax(_areas(at, x[lo:hi], y[lo:hi], (mean_x[n + 1], mean_y[n + 1]))))
+            pick = lo + int(np.argmax(_areas(at, x[lo:hi], y[lo:hi], mean)))
         kept.append(pick)
         at = (x[pick], y[pick])
     return pdf.iloc[kept]
 
 
+def _walk(start: tuple[float, float] | None, after: tuple[float, float] | None, columns: list[str]):
+    """:func:`_chain` as a function of the points alone."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _chain(pdf, start, after)[columns]
+
+    return walk
+
+
 def _areas(a, x, y, c):
     """Twice the areas of the triangles between ``a``, each point and ``c``."""
     return np.abs((a[0] - c[0]) * (y - a[1]) - (a[0] - x) * (c[1] - a[1]))
@@ -206,9 +215,6 @@ def _chain_all(candidates: DataFrame, s_cols: list[str], k_cols: list[str], limi
     schema = T.StructType([f for f in candidates.schema.fields if f.name in s_cols + k_cols])
     names = schema.fieldNames()
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _chain(pdf, None, None)[names]
-
     small = candidates
     kept = []
     for row in large:
@@ -220,7 +226,7 @@ def _chain_all(candidates: DataFrame, s_cols: list[str], k_cols: list[str], limi
     if s_cols:  # by number: few bytes per series, but work enough for all tasks
         parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         small = small.repartition(parts, *s_cols)
-    chosen = small.groupBy(*s_cols).applyInPandas(chain, schema)
+    chosen = small.groupBy(*s_cols).applyInPandas(_walk(None, None, names), schema)
     if kept:
         chosen = chosen.unionByName(candidates.sparkSession.createDataFrame(kept, schema))
     return chosen
@@ -253,29 +259,11 @@ def _chain_in_steps(mine: DataFrame, names: list[str], limit: int) -> list[tuple
             found = [mine.where(F.col("b") == first).agg(best.alias("p")).first()["p"]]
             end = n + 1
         else:
-            last = buckets[end - 1]["b"]
-            part = mine.where(F.col("b").between(first, last)).withColumn("one", F.lit(0))
-            if end < len(buckets):  # the mean of the bucket after, as a single row
-                part = part.unionByName(
-                    mine.where(F.col("b") == last + 1)
-                    .groupBy("b")
-                    .agg(
-                        F.sum("points").alias("points"),
-                        F.sum("sx").alias("sx"),
-                        F.sum("sy").alias("sy"),
-                    )
-                    .withColumn("one", F.lit(0)),
-                    allowMissingColumns=True,
-                )
+            part = mine.where(F.col("b").between(first, buckets[end - 1]["b"]))
+            after = (buckets[end]["mx"], buckets[end]["my"]) if end < len(buckets) else None
             schema = mine.select(*names, "x", "y", "i").schema
-            found = (
-                part.groupBy("one")
-                .applyInPandas(
-                    lambda pdf, s=at, e=last: _chain(pdf, s, e)[schema.names], schema
-                )
-                .orderBy("i")
-                .collect()
-            )
+            walk = _walk(at, after, schema.names)
+            found = part.groupBy().applyInPandas(walk, schema).orderBy("i").collect()
         kept += [tuple(p[c] for c in names) for p in found]
         at = (found[-1]["x"], found[-1]["y"])
         n = end

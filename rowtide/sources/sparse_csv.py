@@ -118,7 +118,7 @@ def read_sparse_csv(
         if n in hints:
             value = hinted(cell, hints[n], n, F.col("__row"), on_error)
         else:
-            value = parsed(cell, types.get(n, "string"))
+            value = parsed(cell, types.get(n, "string"), sure=True)
         result.append(value.alias(n))
     return filled.select(*result)
 
