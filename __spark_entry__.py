@@ -22,7 +22,13 @@ if _HERE not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # for Pytho
 
 from rowtide.functions.names import normalize_columns  # noqa: E402
 from rowtide.functions.typing import infer_types, typed_columns  # noqa: E402
-from rowtide.operators.lookup import add_row_index, preview, range_query, row_query  # noqa: E402
+from rowtide.operators.lookup import (  # noqa: E402
+    add_row_index,
+    preview,
+    range_query,
+    row_query,
+    write_sorted,
+)
 from rowtide.operators.lttb import lttb  # noqa: E402
 from rowtide.operators.profile import column_check, frame_count, presence  # noqa: E402
 from rowtide.operators.sampling import (  # noqa: E402
@@ -167,6 +173,13 @@ def range_parts_text(spark, sf_dir):
     return range_query(parts, "size_text", 20, None)
 
 
+def range_sorted_copy_lineitem(spark, sf_dir):
+    """On a sorted copy the filter skips files and row groups."""
+    path = scratch_path(spark, "lineitem-sorted")
+    write_sorted(_table(spark, sf_dir, "lineitem"), path, "l_partkey")
+    return range_query(spark.read.parquet(path), "l_partkey", 100, 300)
+
+
 def row_numbers_orders(spark, sf_dir):
     return row_query(_table(spark, sf_dir, "orders"), "o_orderkey", row_numbers=[0, 2, 4, 777, 14_999])
 
@@ -609,6 +622,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM (SELECT p_partkey, CASE WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) ELSE p_type END
                            AS size_text FROM part)
             WHERE regexp_full_match(size_text, '[0-9]+') AND try_cast(size_text AS BIGINT) >= 20""",
+        "range_sorted_copy_lineitem": "SELECT * FROM lineitem WHERE l_partkey BETWEEN 100 AND 300",
         "row_numbers_orders": _numbered("orders", "o_orderkey", "row_index IN (0, 2, 4, 777, 14999)"),
         "rowid_range_orders": _numbered("orders", "o_orderkey", "row_index + 1 BETWEEN 101 AND 350"),
         "rowid_set_documents": _numbered("documents", "doc_id", "row_index + 1 IN (1, 5, 10, 500, 1000)"),
@@ -723,7 +737,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sparsify_events, expand_events, expand_sparse_events, expand_last_purchase_by_user, expand_orders_by_priority,
         expand_events_aggregate, sparsify_lineitem, sparsity_stats_events, sparsity_stats_lineitem,
         compare_orders_lineitem, range_orders_key, range_orders_price, range_events_value_below,
-        range_parts_text, row_numbers_orders, rowid_range_orders, rowid_set_documents, rowid_range_lineitem,
+        range_parts_text, range_sorted_copy_lineitem, row_numbers_orders, rowid_range_orders, rowid_set_documents, rowid_range_lineitem,
         row_index_events_by_time, chunks_conversations, preview_orders, bernoulli_orders,
         bernoulli_conversations, reservoir_orders, reservoir_documents, systematic_orders,
         systematic_lineitem, cluster_customers, cluster_lineitem, cluster_orders_with_null_key, lttb_events,

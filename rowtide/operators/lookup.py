@@ -27,6 +27,18 @@ def range_query(
     return df.where(_in_range(F.col(field), df.schema[field].dataType, min_value, max_value))
 
 
+def write_sorted(df: DataFrame, path: str, field: str, files: int | None = None) -> None:
+    """Write ``df`` as parquet sorted by ``field``, replacing what is at ``path``.
+
+    A range query on the copy skips files and row groups by their minima and maxima.
+    Rows of one frequent value are spread over several files.
+    """
+    spread = df.withColumn("__rt_id", F.monotonically_increasing_id())
+    by = [F.col(field), F.col("__rt_id")]
+    ranged = spread.repartitionByRange(files, *by) if files else spread.repartitionByRange(*by)
+    ranged.drop("__rt_id").sortWithinPartitions(field).write.mode("overwrite").parquet(path)
+
+
 def _in_range(value: Column, type_: T.DataType, low: int | None, high: int | None) -> Column:
     if isinstance(type_, (T.StringType, T.BooleanType)):
         if isinstance(type_, T.StringType):
