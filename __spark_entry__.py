@@ -61,6 +61,7 @@ from rowtide.sources.recordings import (  # noqa: E402
     read_recordings,
 )
 from rowtide.sources.sparse_csv import read_sparse_csv, with_chunks, write_sparse_csv  # noqa: E402
+from rowtide.sources.stored_order import read_stored_order  # noqa: E402
 from rowtide.streaming.expand import expand_stream  # noqa: E402
 from rowtide.streaming.sinks import import_recording_stream, write_sparse_stream  # noqa: E402
 
@@ -197,6 +198,17 @@ def rowid_range_lineitem(spark, sf_dir):
     return row_query(_table(spark, sf_dir, "lineitem"), rowid_range=(20_001, 20_400))
 
 
+def row_numbers_stored_orders(spark, sf_dir):
+    """By position in the stored file: a plain filter, no shuffle."""
+    orders = read_stored_order(spark, f"{sf_dir}/orders.parquet")
+    return row_query(orders, row_numbers=[0, 2, 4, 777, 14_999], row_index="row_index")
+
+
+def systematic_stored_orders(spark, sf_dir):
+    orders = read_stored_order(spark, f"{sf_dir}/orders.parquet")
+    return systematic(orders, 100, seed=SEED, row_index="row_index").drop("row_index")
+
+
 def row_index_events_by_time(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     return add_row_index(events, ["ts", "event_id"]).drop("ts")
@@ -624,6 +636,10 @@ def oracle_sql() -> dict[str, str]:
             WHERE regexp_full_match(size_text, '[0-9]+') AND try_cast(size_text AS BIGINT) >= 20""",
         "range_sorted_copy_lineitem": "SELECT * FROM lineitem WHERE l_partkey BETWEEN 100 AND 300",
         "row_numbers_orders": _numbered("orders", "o_orderkey", "row_index IN (0, 2, 4, 777, 14999)"),
+        "row_numbers_stored_orders": _numbered("orders", "o_orderkey", "row_index IN (0, 2, 4, 777, 14999)"),
+        "systematic_stored_orders": _numbered(
+            "orders", "o_orderkey", f"row_index % 100 = {systematic_start(100, SEED)}", "* EXCLUDE (row_index)"
+        ),
         "rowid_range_orders": _numbered("orders", "o_orderkey", "row_index + 1 BETWEEN 101 AND 350"),
         "rowid_set_documents": _numbered("documents", "doc_id", "row_index + 1 IN (1, 5, 10, 500, 1000)"),
         "rowid_range_lineitem": _numbered("lineitem", all_items, "row_index + 1 BETWEEN 20001 AND 20400"),
@@ -738,6 +754,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         expand_events_aggregate, sparsify_lineitem, sparsity_stats_events, sparsity_stats_lineitem,
         compare_orders_lineitem, range_orders_key, range_orders_price, range_events_value_below,
         range_parts_text, range_sorted_copy_lineitem, row_numbers_orders, rowid_range_orders, rowid_set_documents, rowid_range_lineitem,
+        row_numbers_stored_orders, systematic_stored_orders,
         row_index_events_by_time, chunks_conversations, preview_orders, bernoulli_orders,
         bernoulli_conversations, reservoir_orders, reservoir_documents, systematic_orders,
         systematic_lineitem, cluster_customers, cluster_lineitem, cluster_orders_with_null_key, lttb_events,

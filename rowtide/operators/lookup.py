@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from rowtide.functions.typing import parsed
 from rowtide.plans.order import offsets, order_rows, with_row_index
+from rowtide.plans.staging import stage
 
 _MAX_LITERALS = 1_000  # longer position lists become a table
 
@@ -145,6 +146,8 @@ def row_query(
             lambda i: (i >= start) & (i < end),
         )
         table = table.where(hit)
+    # written out, the few blocks are known to be few: the others go before the shuffle
+    table = stage(table, "blocks")
     return pick(with_row_index(rows, name, table=table)).select(name, *df.columns)
 
 

@@ -68,7 +68,8 @@ def lttb(
         if series:
             whole = indexed.where(F.col("n") <= sample_size)
             chosen = whole.select(*s_cols, *k_cols).unionByName(chosen)
-    chosen = chosen.select(*s_cols, *k_cols)
+    # written out, the few points chosen have a known size, and df is not shuffled
+    chosen = stage(chosen.select(*s_cols, *k_cols), "lttb-chosen")
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(series, s_cols)]
     same += [F.col(c) == F.col(n) for c, n in zip(key, k_cols)]
     condition = same[0]

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from rowtide.operators.lookup import add_row_index
 from rowtide.operators.lttb import lttb
+from rowtide.plans.staging import stage
 
 _NULL_KEY = "\x00null"  # stands for NULL in hashed keys; md5 of NULL would be NULL
-_BROADCAST_KEYS = 100_000  # chosen cluster keys above this are joined by shuffle
 
 
 def row_hash(seed: int, key: Sequence[str] | str) -> Column:
@@ -87,16 +87,15 @@ def cluster(
 ) -> DataFrame:
     """All rows of ``n_clusters`` keys drawn at random; NULL is a key.
 
-    ``n_clusters`` wins over ``sample_size``. The rows are not shuffled while the
-    chosen keys are few enough to be broadcast.
+    ``n_clusters`` wins over ``sample_size``. The drawn keys are written out first, so
+    the planner knows their true size: if small they are broadcast and no row is
+    shuffled, else the join is by shuffle.
     """
     n = n_clusters if n_clusters is not None else sample_size
     if n is None or n <= 0:
         raise ValueError("n_clusters or sample_size must be above 0")
     keys = df.select(F.col(field).alias("__rt_key")).distinct()
-    chosen = _smallest(keys, row_hash(seed, "__rt_key"), n, ["__rt_key"])
-    if n <= _BROADCAST_KEYS:
-        chosen = F.broadcast(chosen)
+    chosen = stage(_smallest(keys, row_hash(seed, "__rt_key"), n, ["__rt_key"]), "clusters")
     return df.join(chosen, F.col(field).eqNullSafe(F.col("__rt_key")), "left_semi")
 
 

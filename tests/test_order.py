@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowtide.operators.lookup import add_row_index, row_query
+from rowtide.operators.sampling import systematic
 from rowtide.operators.sparse import compare_orders, expand_sparse, sparsify, sparsity_stats
 from rowtide.plans.order import BLOCK, order_rows
+from rowtide.sources.stored_order import read_stored_order
 
 BLOCKS = [1, 7]
 
@@ -170,3 +172,21 @@ def test_stats_and_order_comparison(spark):
     assert stats == {"id": (4, 0, 0), "a": (4, 1, 1), "b": (4, 1, 2)}
     best = {r["sort_order"]: r["cells_elided"] for r in compare_orders(df, [["id"], ["a", "b"]], ["a", "b"]).collect()}
     assert best == {"id": 2, "a,b": 4}  # u10 u10 u20 v20: two cells of each column
+
+
+def test_stored_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 1000, 1, 4).select((F.col("id") * 7 % 1000).alias("v")).write.parquet(path)
+    df = read_stored_order(spark, path)
+    want = {}
+    for file in sorted(spark.read.parquet(path).inputFiles()):
+        for r in spark.read.parquet(file).collect():
+            want[len(want)] = r["v"]
+    assert {r["row_index"]: r["v"] for r in df.collect()} == want
+    picked = row_query(df, row_numbers=[3, 500], row_index="row_index").collect()
+    assert sorted(tuple(r) for r in picked) == [(3, want[3]), (500, want[500])]
+    plan = systematic(df, 10, start=4, row_index="row_index")
+    assert sorted(r["v"] for r in plan.collect()) == sorted(v for i, v in want.items() if i % 10 == 4)
+    assert "hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        read_stored_order(spark, path, "v")

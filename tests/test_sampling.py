@@ -91,11 +91,15 @@ def test_cluster(spark):
         cluster(df, "k")
 
 
-def test_cluster_beyond_the_broadcast_limit(spark, monkeypatch):
+def test_cluster_without_broadcast(spark):
     df = spark.range(2000).select("id", (F.col("id") % 400).alias("k"))
     want = ids(cluster(df, "k", n_clusters=50, seed=2))
-    monkeypatch.setattr(sampling, "_BROADCAST_KEYS", 10)
-    assert ids(cluster(df, "k", n_clusters=50, seed=2)) == want and len(want) == 250
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ids(cluster(df, "k", n_clusters=50, seed=2)) == want and len(want) == 250
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
 
 
 def test_dispatch(spark):
