@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowtide.functions.typing import parsed
-from rowtide.plans.order import offsets, order_rows, with_row_index
+from rowtide.plans.order import BLOCK, offsets, order_rows, with_row_index
 from rowtide.plans.staging import stage
 
 _MAX_LITERALS = 1_000  # longer position lists become a table
@@ -106,7 +106,8 @@ def row_query(
     ``row_numbers`` are 0-based, ``rowid_range`` (inclusive) and ``rowid_set`` 1-based;
     the first one given counts. A table which already has its position passes that
     column as ``row_index``, and the query is a filter. Otherwise only those blocks
-    of the order which hold a wanted position are shuffled and sorted.
+    of the order which hold a wanted position are shuffled and sorted, and a scan
+    reads only the range of keys they span.
     """
     spark = df.sparkSession
     wanted: list[int] | None = None
@@ -148,6 +149,10 @@ def row_query(
         table = table.where(hit)
     # written out, the few blocks are known to be few: the others go before the shuffle
     table = stage(table, "blocks")
+    if rows.borders:
+        lowest, highest = table.agg(F.min(BLOCK), F.max(BLOCK)).first()
+        if lowest is not None:
+            rows = rows.with_df(rows.df.where(rows.borders.between(lowest, highest)))
     return pick(with_row_index(rows, name, table=table)).select(name, *df.columns)
 
 

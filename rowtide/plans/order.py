@@ -33,6 +33,30 @@ SAMPLES_PER_BLOCK = 20
 COPIES_PER_CHUNK = 1_000
 
 
+@dataclass(frozen=True)
+class Borders:
+    keys: tuple[str, ...]
+    types: tuple[str, ...]
+    texts: tuple[tuple[str | None, ...], ...]  # one list of values per key
+
+    def between(self, first: int, last: int) -> str:
+        """A filter which keeps all rows of some successive blocks, as SQL text; on a
+        plain column it reaches the scan. TRUE where borders are on several columns."""
+        if len(self.keys) > 1:
+            return "true"
+        key, parts = quoted(self.keys[0]), []
+        if first > 0:
+            parts.append(f"{key} >= {self._literal(first - 1)}")
+        if last < len(self.texts[0]):
+            below = f"{key} < {self._literal(last)}"
+            parts.append(below if first > 0 else f"({below} or {key} is null)")
+        return " and ".join(parts) or "true"
+
+    def _literal(self, n: int) -> str:
+        text = self.texts[0][n].replace("\\", "\\\\").replace("'", "\\'")
+        return f"cast('{text}' as {self.types[0]})"
+
+
 @dataclass(frozen=True)
 class OrderedRows:
     """A DataFrame with its order.
@@ -51,6 +75,7 @@ class OrderedRows:
     single_block: bool = False
     total: int | None = None  # all rows, where counted
     null_groups: bool = True  # a group column may be NULL
+    borders: Borders | None = None
 
     def with_df(self, df: DataFrame) -> OrderedRows:
         return replace(self, df=df)
@@ -128,6 +153,7 @@ def order_rows(
         copies=COPIES if collapse else None,
         single_block=not borders,
         total=rows,
+        borders=borders,
     )
 
 
@@ -261,16 +287,9 @@ def _collapse_copies(df: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class _Borders:
-    keys: tuple[str, ...]
-    types: tuple[str, ...]
-    texts: tuple[tuple[str | None, ...], ...]  # one list of values per key
-
-
 def _borders(
     df: DataFrame, keys: tuple[str, ...], rows: int, blocks: int, unique: bool
-) -> _Borders | None:
+) -> Borders | None:
     """Evenly spaced values of the shortest sufficient prefix of the order key.
 
     A prefix will do when none of its values holds more than two blocks' worth of
@@ -307,7 +326,7 @@ def _borders(
             cuts.append(tuple(r)[:-1])
             filled = 0
         filled += r["__rt_n"]
-    return _Borders(prefix, types, tuple(zip(*cuts))) if cuts else None
+    return Borders(prefix, types, tuple(zip(*cuts))) if cuts else None
 
 
 def _counted(sample: DataFrame, prefix: tuple[str, ...]) -> list:
@@ -322,7 +341,7 @@ def _counted(sample: DataFrame, prefix: tuple[str, ...]) -> list:
     )
 
 
-def _locate(df: DataFrame, borders: _Borders) -> DataFrame:
+def _locate(df: DataFrame, borders: Borders) -> DataFrame:
     """Add the block number: how many borders are at or below the row's key.
 
     Binary search over constant arrays, one projection per step, which whole-stage

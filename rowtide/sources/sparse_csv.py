@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rowtide.functions.markers import Inherit, equal_to, inherits
 from rowtide.functions.typing import NULL_VALUES, hinted, infer_types, null_mapped, parsed, type_name
 from rowtide.operators.sparse import NULL_TOKEN, sparse_rows
-from rowtide.plans.order import OrderedRows, fill_forward, join_blocks, order_rows
+from rowtide.plans.order import OrderedRows, fill_forward, order_rows
 from rowtide.plans.staging import stage
 
 
@@ -313,18 +313,13 @@ def _numbered(staged: DataFrame, fmt: SparseFormat, cells: list[str]) -> Ordered
         splits.withColumn("__before", F.coalesce(F.sum("__n").over(in_file), F.lit(0)))
         .withColumn("__skip", F.least("__n", F.greatest(F.lit(0), F.lit(drop) - F.col("__before"))))
         .withColumn("__start", F.coalesce(F.sum(F.col("__n") - F.col("__skip")).over(overall), F.lit(0)))
-    )
-    rows = OrderedRows(
-        df=staged,
-        group=("__file",),
-        blocks=("__block",),
-        order=("__pos",),
-        columns=tuple(cells),
-        null_groups=False,
+        # short numbers go through the shuffle instead of paths
+        .withColumn("__file_no", F.dense_rank().over(Window.orderBy("__file")))
+        .withColumn("__split", F.row_number().over(Window.orderBy("__file", "__block")))
     )
     # written out, the table has a known size: small enough, it is broadcast
-    splits = stage(splits, "splits")
-    located = join_blocks(staged, rows, splits, ["__first", "__skip", "__start", "__before"], "inner")
+    splits = stage(splits, "splits").withColumnsRenamed({"__file": "__of", "__block": "__from"})
+    located = staged.join(splits, F.expr("__file = __of and __block = __from"), "inner")
     at = F.col("__pos") - F.col("__first")
     wanted = at >= F.col("__skip")
     if fmt.has_header:
@@ -333,5 +328,12 @@ def _numbered(staged: DataFrame, fmt: SparseFormat, cells: list[str]) -> Ordered
         header = (at == 0) & (F.col("__before") == 0)
         wanted = F.when(header & ~F.col("__like_header"), F.raise_error(other).cast("boolean")).otherwise(wanted)
     data = located.where(wanted)
-    data = data.withColumn("__row", F.col("__start") + at - F.col("__skip"))
-    return rows.with_df(data.drop("__first", "__skip", "__start", "__before", "__like_header"))
+    row = (F.col("__start") + at - F.col("__skip")).alias("__row")
+    return OrderedRows(
+        df=data.select("__file_no", "__split", "__pos", row, *cells),
+        group=("__file_no",),
+        blocks=("__split",),
+        order=("__pos",),
+        columns=tuple(cells),
+        null_groups=False,
+    )

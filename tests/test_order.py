@@ -115,6 +115,23 @@ def test_row_index_and_queries(spark, blocks):
         found()
 
 
+def test_row_query_reads_only_the_keys_it_needs(spark, table):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)  # else plans are shown cut off
+    orders = table("orders", "sf0.01")
+    plan = row_query(orders, "o_orderkey", rowid_range=(7000, 7010), blocks=20)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThanOrEqual(o_orderkey" in text
+    assert [r["row_index"] for r in plan.orderBy("row_index").collect()] == list(range(6999, 7010))
+
+
+@pytest.mark.parametrize("position", [0, 1, 700, 1500])
+def test_row_query_on_text_keys(spark, position):
+    keys = [None] + sorted({f"{i * 7919 % 100003:05d}'\\" for i in range(1600)})
+    df = spark.createDataFrame([(k,) for k in reversed(keys)], "k string").repartition(4)
+    got = row_query(df, "k", row_numbers=[position], blocks=8).collect()
+    assert [tuple(r) for r in got] == [(position, keys[position])]
+
+
 def test_text_keys_with_nulls_are_cut_in_order(spark):
     rng = random.Random(5)
     keys = [None] + ["".join(rng.choice("ab'\"\\é,") for _ in range(12)) for _ in range(1500)]
