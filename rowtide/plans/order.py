@@ -20,6 +20,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rowtide.plans.staging import stage
 
 BLOCK = "__rt_block"
 CHUNK = "__rt_chunk"
@@ -31,6 +34,7 @@ BLOCKS_PER_PARTITION = 4  # evens out the hash placement of blocks
 MAX_BLOCKS = 16_384
 SAMPLES_PER_BLOCK = 20
 COPIES_PER_CHUNK = 1_000
+TWO_STEP_ROWS = 300_000
 
 
 @dataclass(frozen=True)
@@ -187,16 +191,47 @@ def join_blocks(
     return joined.drop(*[f"__rt_k{i}" for i in range(len(keys))])
 
 
-def carried(rows: OrderedRows, aggregates: dict[str, str]) -> DataFrame:
-    """Block table with, per aggregate, its last non-NULL value in earlier blocks.
+def last_in_blocks(rows: OrderedRows, values: dict[str, str]) -> DataFrame:
+    """Block table with the last non-NULL value of each expression (SQL text)."""
+    at = rows.position()
+    if not _in_two_steps(rows):
+        return block_table(
+            rows, *[f"max_by({e}, case when {e} is not null then {at} end) as {n}" for n, e in values.items()]
+        )
+    # keeping texts or structs while aggregating means sorting all rows by block;
+    # numbers are aggregated by hash. So find the places first, then fetch their rows
+    spots = [f"__rt_p{i}" for i in range(len(values))]
+    places = block_table(
+        rows, *[f"max(case when {e} is not null then {at} end) as {p}" for p, e in zip(spots, values.values())]
+    )
+    hits = join_blocks(rows.df, rows, stage(places, "places"), spots, "inner")
+    hits = hits.where(" or ".join(f"{at} = {p}" for p in spots))
+    return block_table(
+        rows.with_df(hits),
+        *[f"max_by({e}, case when {at} = {p} then {at} end) as {n}" for p, (n, e) in zip(spots, values.items())],
+    )
+
+
+def _in_two_steps(rows: OrderedRows) -> bool:
+    """Large tables with a single number or time as order key, and few groups: as many
+    places as blocks, small enough to be broadcast."""
+    by_number = isinstance(
+        rows.df.schema[rows.order[0]].dataType, (T.IntegralType, T.TimestampType, T.TimestampNTZType, T.DateType)
+    )
+    few_groups = not rows.group or not rows.null_groups  # none, or files
+    return len(rows.order) == 1 and by_number and few_groups and (rows.total or 0) >= TWO_STEP_ROWS
+
+
+def carried(rows: OrderedRows, values: dict[str, str]) -> DataFrame:
+    """Block table with the last non-NULL value of each expression in earlier blocks.
 
     Only blocks which continue a group are kept: at most one row per block border,
     however many groups there are.
     """
-    table = block_table(rows, *[f"{e} as {n}" for n, e in aggregates.items()])
+    table = last_in_blocks(rows, values)
     return table.selectExpr(
         *map(quoted, rows.group + rows.blocks),
-        *[f"last({n}, true) {over_blocks(rows, BEFORE)} as {n}" for n in aggregates],
+        *[f"last({n}, true) {over_blocks(rows, BEFORE)} as {n}" for n in values],
         f"row_number() {over_blocks(rows)} as __rt_nth",
     ).where("__rt_nth > 1")
 
@@ -212,10 +247,7 @@ def fill_forward(rows: OrderedRows, values: dict[str, Column]) -> DataFrame:
     )
     if rows.single_block:
         return local
-    at = rows.position()
-    table = carried(
-        rows.with_df(df), {c: f"max_by({c}, case when {c} is not null then {at} end)" for c in cells}
-    )
+    table = carried(rows.with_df(df), {c: c for c in cells})
     joined = join_blocks(local, rows, table, cells, "left")
     return joined.selectExpr(
         *others, *[f"coalesce({quoted(n)}, {c}) as {quoted(n)}" for n, c in zip(values, cells)]
@@ -228,7 +260,7 @@ def with_previous(rows: OrderedRows, columns: Sequence[str]) -> DataFrame:
     local = rows.df.selectExpr("*", f"lag({cells}) {rows.over()} as {PREV}")
     if rows.single_block:
         return local
-    table = carried(rows, {"__rt_last": f"max_by({cells}, {rows.position()})"})
+    table = carried(rows, {"__rt_last": cells})
     joined = join_blocks(local, rows, table, ["__rt_last"], "left")
     return joined.withColumn(PREV, F.coalesce(PREV, "__rt_last")).drop("__rt_last")
 

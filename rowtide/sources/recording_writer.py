@@ -80,6 +80,7 @@ def write_recordings(
         yield pd.DataFrame(done, columns=["file_path", "frames"])
 
     rows = df.select(F.col(file_by).cast("string").alias("__file"), time, *signals, *[c for c in order_by if c not in (time, *signals)])
-    rows = rows.repartition("__file").sortWithinPartitions("__file", *order_by)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "__file").sortWithinPartitions("__file", *order_by)
     schema = T.StructType().add("file_path", T.StringType()).add("frames", T.LongType())
     return rows.mapInPandas(write, schema)

@@ -69,6 +69,7 @@ FILE_COLUMNS = (
 _READ_BYTES = 4 << 20
 _BATCH_FRAMES = 20_000
 _PACK_BYTES = 64 << 20
+_PACK_LEAST = 1 << 18
 
 
 class RecordingError(ValueError):
@@ -372,7 +373,8 @@ class RecordingSource(DataSource):
 
     Options: ``path``; ``view`` is ``frames`` (needs a schema), ``signals`` or
     ``files``; ``on_bad_file`` is ``fail`` or ``skip``; ``complex`` is ``struct`` or
-    ``array``; ``suffix`` of files in folders; ``packBytes`` per task.
+    ``array``; ``suffix`` of files in folders; ``packBytes`` per task at most, less if
+    the files would not give work to ``tasks`` tasks.
     """
 
     @classmethod
@@ -401,10 +403,12 @@ class _RecordingReader(DataSourceReader):
         self.complex = options.get("complex", "struct")
         self.suffix = options.get("suffix", ".bin")
         self.pack_bytes = int(options.get("packbytes", options.get("packBytes", _PACK_BYTES)))
+        self.tasks = int(options.get("tasks", 1))
 
     def partitions(self) -> list[InputPartition]:
         files = [f for p in self.paths for f in list_recordings(p, self.suffix)]
-        return _packs(files, self.pack_bytes) or [_Pack([])]
+        share = sum(size for _, size in files) // self.tasks
+        return _packs(files, min(self.pack_bytes, max(share, _PACK_LEAST))) or [_Pack([])]
 
     def read(self, partition: _Pack) -> Iterator:
         for path, size in partition.files:
@@ -486,6 +490,7 @@ def _view(spark: SparkSession, path, view: str, schema: T.StructType | None = No
     spark.dataSource.register(RecordingSource)
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.format(FORMAT).option("view", view).option("recordings", json.dumps(paths))
+    reader = reader.option("tasks", spark.sparkContext.defaultParallelism)
     for name, value in options.items():
         reader = reader.option(name, value)
     if schema is not None:

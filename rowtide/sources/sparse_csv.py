@@ -336,4 +336,5 @@ def _numbered(staged: DataFrame, fmt: SparseFormat, cells: list[str]) -> Ordered
         order=("__pos",),
         columns=tuple(cells),
         null_groups=False,
+        total=splits.agg(F.sum("__n")).first()[0],
     )

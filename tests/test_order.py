@@ -14,6 +14,12 @@ from rowtide.sources.stored_order import read_stored_order
 BLOCKS = [1, 7]
 
 
+@pytest.fixture(params=["one step", "two steps"])
+def steps(request, monkeypatch):
+    if request.param == "two steps":
+        monkeypatch.setattr("rowtide.plans.order.TWO_STEP_ROWS", 0)
+
+
 def fill_loop(rows, group, cols):
     above, result = {}, []
     for row in rows:
@@ -44,7 +50,7 @@ SCHEMA = "id bigint, user bigint, a double, b string"
 
 
 @pytest.mark.parametrize("blocks", BLOCKS)
-def test_expand_equals_row_loop(spark, blocks):
+def test_expand_equals_row_loop(spark, blocks, steps):
     rows = random_rows(1000, 1)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     got = expand_sparse(df, "id", ["a", "b"], blocks=blocks).orderBy("id").collect()
@@ -157,7 +163,7 @@ def test_hot_first_column_uses_a_longer_key(spark):
 
 
 @pytest.mark.parametrize("blocks", BLOCKS)
-def test_sparsify_then_expand_is_identity(spark, blocks):
+def test_sparsify_then_expand_is_identity(spark, blocks, steps):
     rows = random_rows(800, 4, users=2)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     sparse = sparsify(df, "id", blocks=blocks)

@@ -154,7 +154,9 @@ def test_files_start_anew_and_rows_are_numbered_over_all(spark, put, tmp_path):
         read_sparse_csv(spark, str(tmp_path / "d")).collect()
 
 
-def test_many_splits_equal_one_loop(spark, put, tmp_path):
+@pytest.mark.parametrize("two_step_rows", [0, 10**9])
+def test_many_splits_equal_one_loop(spark, put, tmp_path, monkeypatch, two_step_rows):
+    monkeypatch.setattr("rowtide.plans.order.TWO_STEP_ROWS", two_step_rows)
     import random
 
     rng = random.Random(9)
