@@ -424,12 +424,14 @@ def recording_frame_counts(spark, sf_dir):
 
 def recording_import_check(spark, sf_dir):
     root = scratch_path(spark, "lake")
-    import_recordings(spark, _recorded(spark, sf_dir), root, "sim_record")
-    frames = read_imported(spark, root, "sim_record")
-    return column_check(frames, ["value_eur", "props"], ["user"]).crossJoin(
-        recording_files(spark, root, "sim_record").agg(
-            F.count(F.lit(1)).alias("files"), F.sum("imported_frame_count").alias("frames")
-        )
+    import_recordings(spark, _recorded(spark, sf_dir), root, "recorded_events")
+    frames = read_imported(spark, root, "recorded_events")
+    files = recording_files(spark, root, "recorded_events")
+    return column_check(frames, ["value_eur", "props"], ["user"]).withColumns(
+        {
+            "files": files.agg(F.count(F.lit(1))).scalar(),
+            "frames": files.agg(F.sum("imported_frame_count")).scalar(),
+        }
     )
 
 
@@ -437,7 +439,7 @@ def recording_import_check(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir, columns):
-    """Events as files of a stream, one range of event ids per file and batch."""
+    """Events as files of a stream, one range of event ids per file."""
     events = _table(spark, sf_dir, "events").select(*columns)
     path = scratch_path(spark, "event-stream")
     events.repartitionByRange(4, "event_id").write.parquet(path)
@@ -473,9 +475,9 @@ def stream_sparse_sink(spark, sf_dir):
 def stream_recording_import(spark, sf_dir):
     root, checkpoint = scratch_path(spark, "stream-lake"), scratch_path(spark, "import-log")
     import_recording_stream(
-        spark, _recorded(spark, sf_dir), root, "sim_record", checkpoint
+        spark, _recorded(spark, sf_dir), root, "recorded_events", checkpoint
     ).awaitTermination()
-    frames = read_imported(spark, root, "sim_record")
+    frames = read_imported(spark, root, "recorded_events")
     return frames.groupBy("bought").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
