@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowtide.llm.components import connected_components
-from rowtide.llm.shared import column
+from rowtide.llm.shared import column, free_names
 from rowtide.llm.text_arrays import mixed, text_words
 from rowtide.plans.staging import stage
 
@@ -165,18 +165,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent:
     return stage(pairs.select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a string, b string"), "links")
 
 
-def near_duplicates(
-    documents: DataFrame, percent: int = 85, shingle_words: int = 3, neighbours: int = NEIGHBOURS
-) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``component`` for each row.
-
-    Texts are linked if 100 * intersection >= ``percent`` * union of their sets of word
-    shingles, lower-cased (A to Z). A text with fewer words has all of them as its one
-    shingle; NULL, empty and blank texts have none, link with nothing and have no
-    ``component`` (the smallest node of the component, by the hash of its set). ``component_id`` is the smallest doc_id reachable (NULL only if all
-    reachable ids are NULL), ``kept`` whether it is the row's own. Rows with one id and
-    text both have it. An empty table gives no rows; further columns are not looked at.
-    """
+def _classes(documents: DataFrame, percent: int, shingle_words: int, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of documents with their nodes; the nodes' components. Both written."""
     rows = documents.select(column(documents, "doc_id", "bigint"), column(documents, "text", "string"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     # ids travel as text, for a column of integers with NULLs would become one of floats
@@ -212,6 +202,22 @@ def near_duplicates(
     of = stage(of.select("node", "least_id", F.coalesce("component", "node").alias("component")), "classes")
     least = stage(of.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
     of = stage(of.join(least, "component").select("node", "component", "component_id"), "classes")
+    return found, of
+
+
+def near_duplicates(
+    documents: DataFrame, percent: int = 85, shingle_words: int = 3, neighbours: int = NEIGHBOURS
+) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``component`` for each row.
+
+    Texts are linked if 100 * intersection >= ``percent`` * union of their sets of word
+    shingles, lower-cased (A to Z). A text with fewer words has all of them as its one
+    shingle; NULL, empty and blank texts have none, link with nothing and have no
+    ``component`` (the smallest node of the component, by the hash of its set). ``component_id`` is the smallest doc_id reachable (NULL only if all
+    reachable ids are NULL), ``kept`` whether it is the row's own. Rows with one id and
+    text both have it. An empty table gives no rows; further columns are not looked at.
+    """
+    found, of = _classes(documents, percent, shingle_words, neighbours)
     out = found.select("doc_id", "n_shingles", "node").join(of, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -221,3 +227,25 @@ def near_duplicates(
         F.col("doc_id").eqNullSafe(own).alias("kept"),
         "component",
     )
+
+
+def one_of_each(
+    documents: DataFrame, percent: int = 85, shingle_words: int = 3, neighbours: int = NEIGHBOURS
+) -> DataFrame:
+    """The rows that stay, all columns as they are: of each component one with its smallest doc_id.
+
+    Of several such rows, the one whose text has the smallest hash, and of those any one.
+    Texts without words all stay.
+    """
+    found, of = _classes(documents, percent, shingle_words, neighbours)
+    known = found.where("node IS NOT NULL").join(of, "node")
+    first = known.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("f"))
+    first = stage(first.select("component", "f.doc_id", "f.text_key"), "keepers")
+    key, id_, text_key, component = free_names(documents, "own_key", "keeper_id", "keeper_key", "component")
+    first = first.select(F.col("doc_id").alias(id_), F.col("text_key").alias(text_key), F.col("component").alias(component))
+    rows = documents.withColumn(key, F.xxhash64(column(documents, "text", "string")))
+    same = (F.col(key) == F.col(text_key)) & column(documents, "doc_id", "bigint").eqNullSafe(F.col(id_))
+    kept = rows.join(first, same).dropDuplicates([component])
+    blank = ~F.coalesce(column(documents, "text", "string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    names = [f"`{c}`" for c in documents.columns]
+    return kept.select(*names).union(documents.where(blank).select(*names))

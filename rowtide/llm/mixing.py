@@ -102,8 +102,9 @@ def mix(
     seed: int = 42,
     block_words: int = BLOCK_WORDS,
     shard_documents: int = SHARD_DOCUMENTS,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The rows with ``size``, ``source_size``, ``target`` and ``taken`` (new names if taken).
+    """The rows, with the columns ``keep`` (all by default), with ``size``, ``source_size``, ``target`` and ``taken`` (new names if taken).
 
     Sizes are words; a NULL text has none. Sources are the values of ``source`` by code
     point, NULL as the last one, and weigh ``weights`` in turn; they share ``share``
@@ -116,7 +117,7 @@ def mix(
     size, source_size, target, taken = free_names(documents, "size", "source_size", "target", "taken")
     key, text = column(documents, "doc_id", "string"), column(documents, "text", "string")
     rows = documents.select(
-        F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"),
+        F.struct(*[documents[f"`{c}`"] for c in (documents.columns if keep is None else keep)]).alias("row"),
         column(documents, "source", "string").alias("source"),
         word_count(text).alias("size"),
         F.xxhash64(F.lit(seed), key, text).alias("deal"),
@@ -191,3 +192,27 @@ def mix(
         F.col("target").alias(target),
         (F.col("upto_end") - F.col("upto_begin")).cast("long").alias(taken),
     )
+
+
+def mixed_rows(documents: DataFrame, **how) -> DataFrame:
+    """The mix itself: rows with the columns of the documents, a row for each copy taken.
+
+    A copy that is taken in part has its first words, with the white space between them;
+    ``n_chars``, if there, is counted anew for it. Rows of which nothing is taken go.
+    """
+    size, _, _, taken = free_names(documents, "size", "source_size", "target", "taken")
+    copy, words = free_names(documents, "copy", "words")
+    mixed = mix(documents, **how).where(F.col(taken) > 0)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size))))
+    mixed = mixed.withColumn(copy, copies)
+    mixed = mixed.withColumn(words, F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size)))
+    cut = F.col(words) < F.col(size)
+    # a piece is a word with the white space behind it; white space in front is one of its own
+    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    first = F.array_join(F.slice(pieces, F.lit(1), (F.col(words) + lead).cast("int")), "")
+    mixed = mixed.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        mixed = mixed.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return mixed.select(*[f"`{c}`" for c in documents.columns])
