@@ -599,6 +599,32 @@ def _numbered(table: str, order: str, where: str, columns: str = "*") -> str:
     )
 
 
+def _llm():
+    """The pipeline and the queries for training data, or None without their files."""
+    try:
+        import corpus_pipeline
+        from rowtide.llm import queries as llm
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "rowtide.llm", "rowtide.llm.queries"):
+            raise
+        return None
+    return corpus_pipeline, llm
+
+
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    if (found := _llm()) is None:
+        return {}
+    pipeline, llm = found
+    return llm.queries() | {"pipeline": pipeline.run}
+
+
+def _llm_sql() -> dict[str, str]:
+    if (found := _llm()) is None:
+        return {}
+    pipeline, llm = found
+    return llm.oracle_sql() | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB with the same columns as the query of the same name."""
     all_items = ", ".join(LINEITEM)
@@ -746,7 +772,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_recording_import": """
             SELECT event_type = 'purchase' AS bought, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids
             FROM events GROUP BY 1""",
-    }
+    } | _llm_sql()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -766,7 +792,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         recording_frame_counts, recording_import_check, stream_expand_by_user, stream_bernoulli,
         stream_sparse_sink, stream_recording_import,
     ]
-    return {f.__name__: f for f in functions}
+    return {f.__name__: f for f in functions} | _llm_queries()
 
 
 def entry(spark: SparkSession) -> DataFrame:
