@@ -109,8 +109,8 @@ def _candidates(nodes: DataFrame, estimate: float, neighbours: int) -> DataFrame
         F.xxhash64("tree", F.slice("signature", F.col("tree") * DEPTH + 1, d)).alias(f"p{d}")
         for d in range(FIRST_DEPTH, DEPTH + 1)
     ]
-    trees = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    open_ = trees.select("node", "tree", *paths)
+    trees = nodes.select(F.xxhash64("node").alias("id"), "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    open_ = trees.select("id", "tree", *paths)
     deeper = [f"p{d}" for d in range(FIRST_DEPTH, DEPTH + 1)]
     regions = []
     for d in range(FIRST_DEPTH, DEPTH + 1):
@@ -118,31 +118,39 @@ def _candidates(nodes: DataFrame, estimate: float, neighbours: int) -> DataFrame
         sizes = stage(open_.groupBy(path).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "regions")
         joined = open_.join(sizes, path)
         if d < DEPTH:
-            regions.append(joined.where(F.col("n") <= REGION).select("node", F.col(path).alias("region"), *deeper))
+            regions.append(joined.where(F.col("n") <= REGION).select("id", F.col(path).alias("region"), *deeper))
             open_ = stage(joined.where(F.col("n") > REGION).drop("n"), "open")
         else:
             # whole labels agree: cut by a hash of the node, and compare with one of them
-            cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION))
-            last = stage(joined.select("node", path, F.xxhash64(path, cut).alias("region"), *deeper[:-1]), "labels")
-            regions.append(last.select("node", "region", *deeper))
-            hubs = stage(last.groupBy(path).agg(F.min("node").alias("hub")), "hubs")
-            stars = last.join(hubs, path).select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b")
+            cut = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / REGION))
+            last = stage(joined.select("id", path, F.xxhash64(path, cut).alias("region"), *deeper[:-1]), "labels")
+            regions.append(last.select("id", "region", *deeper))
+            hubs = stage(last.groupBy(path).agg(F.min("id").alias("hub")), "hubs")
+            stars = last.join(hubs, path).select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b")
     in_region = regions[0]
     for more in regions[1:]:
         in_region = in_region.unionByName(more)
-    order = Window.partitionBy("region").orderBy(*deeper, "node")
-    near = F.array(*[F.lead("node", k).over(order) for k in range(1, neighbours + 1)])
-    pairs = in_region.select("node", near.alias("near")).select("node", F.explode("near").alias("other"))
+    order = Window.partitionBy("region").orderBy(*deeper, "id")
+    near = F.array(*[F.lead("id", k).over(order) for k in range(1, neighbours + 1)])
+    pairs = in_region.select("id", near.alias("near")).select("id", F.explode("near").alias("other"))
     pairs = pairs.where("other IS NOT NULL").select(
-        F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
+        F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")
     )
     pairs = stage(pairs.union(stars).distinct(), "candidates")
-    known = nodes.select("node", "signature", "text_key")
+    # 64 bits find the nodes; should two nodes share them, both become candidates
+    known = nodes.select(F.xxhash64("node").alias("id"), "node", "signature", "text_key")
     for end in ("a", "b"):
-        own = known.select(F.col("node").alias(end), F.col("signature").alias("s" + end), F.col("text_key").alias("t" + end))
-        pairs = pairs.join(own, end)
+        own = [F.col("node").alias("n" + end), F.col("signature").alias("s" + end), F.col("text_key").alias("t" + end)]
+        pairs = pairs.join(known.select(F.col("id").alias(end), *own), end)
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    pairs = pairs.select("a", "b", "ta", "tb", (same / (TREES * DEPTH)).alias("alike"))
+    first = F.col("na") < F.col("nb")
+    pairs = pairs.select(
+        F.least("na", "nb").alias("a"),
+        F.greatest("na", "nb").alias("b"),
+        F.when(first, F.col("ta")).otherwise(F.col("tb")).alias("ta"),
+        F.when(first, F.col("tb")).otherwise(F.col("ta")).alias("tb"),
+        (same / (TREES * DEPTH)).alias("alike"),
+    )
     return stage(pairs.where(F.col("alike") >= estimate), "candidates")
 
 
