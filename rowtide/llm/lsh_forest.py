@@ -33,7 +33,7 @@ TREES = 12
 DEPTH = 6
 FIRST_DEPTH = 2
 REGION = 64
-NEIGHBOURS = 3
+NEIGHBOURS = 12
 _U = np.uint64
 _STEPS = (mixed(np.arange(1, TREES * DEPTH + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1))[None, :]
 NODES = "doc_id string, n_shingles long, node string, text_key long, signature array<int>"

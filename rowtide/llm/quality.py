@@ -27,6 +27,7 @@ DIMENSIONS = 8
 GRAMS = (3, 4)
 #: Labelled rows that training sees at most, the ones with the smallest hashes of the id.
 TRAIN_ROWS = 4000
+STEPS = 12_000
 #: Characters that are turned into features at once. N-grams and pairs of words over the
 #: border of two pieces of a longer text do not count, a word at the border counts as two.
 PIECE = 1 << 18
@@ -114,13 +115,15 @@ class Model:
 
 
 def train(
-    bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 5, rate: float = 0.5, seed: int = 7
+    bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int | None = None, rate: float = 0.5, seed: int = 7
 ) -> Model:
     """Fit on bags of (distinct buckets, shares). Without both classes only the base rate is learned."""
     share = (labels.sum() + 1) / (len(labels) + 2)
     prior = float(np.log(share / (1 - share)))
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), prior)
+    # small samples are gone through more often: about STEPS steps, but 5 to 60 times
+    epochs = epochs or min(60, max(5, STEPS // len(bags)))
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (DIMENSIONS, 2)).astype(np.float32)
