@@ -37,7 +37,9 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 
 
 def check_table_name(name: str) -> str:
-    """The name itself, if it is a plain identifier."""
+    """The name itself, if it is a plain identifier and no catalog's name."""
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name or ""):
         raise ValueError(f"not a plain table name: {name!r}")
+    if name.lower() in ("_files", "_signals"):
+        raise ValueError(f"reserved for the catalogs of imports: {name!r}")
     return name

@@ -192,11 +192,14 @@ def join_blocks(
 
 
 def last_in_blocks(rows: OrderedRows, values: dict[str, str]) -> DataFrame:
-    """Block table with the last non-NULL value of each expression (SQL text)."""
+    """Block table with the last non-NULL value of each expression (SQL text).
+
+    A NULL key is a position like any other, the first one: inside ``struct`` it counts.
+    """
     at = rows.position()
     if not _in_two_steps(rows):
         return block_table(
-            rows, *[f"max_by({e}, case when {e} is not null then {at} end) as {n}" for n, e in values.items()]
+            rows, *[f"max_by({e}, case when {e} is not null then struct({at}) end) as {n}" for n, e in values.items()]
         )
     # keeping texts or structs while aggregating means sorting all rows by block;
     # numbers are aggregated by hash. So find the places first, then fetch their rows
@@ -205,10 +208,10 @@ def last_in_blocks(rows: OrderedRows, values: dict[str, str]) -> DataFrame:
         rows, *[f"max(case when {e} is not null then {at} end) as {p}" for p, e in zip(spots, values.values())]
     )
     hits = join_blocks(rows.df, rows, stage(places, "places"), spots, "inner")
-    hits = hits.where(" or ".join(f"{at} = {p}" for p in spots))
+    hits = hits.where(" or ".join(f"{at} <=> {p}" for p in spots))
     return block_table(
         rows.with_df(hits),
-        *[f"max_by({e}, case when {at} = {p} then {at} end) as {n}" for p, (n, e) in zip(spots, values.items())],
+        *[f"max_by({e}, case when {at} <=> {p} and {e} is not null then struct({at}) end) as {n}" for p, (n, e) in zip(spots, values.items())],
     )
 
 

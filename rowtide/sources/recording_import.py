@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rowtide.functions.names import check_table_name
 from rowtide.plans.staging import stage
@@ -82,7 +83,7 @@ def import_recordings(
 def recording_files(spark: SparkSession, root: str, table: str | None = None) -> DataFrame:
     """The file catalog: files of the imports which count, for one table or all."""
     try:
-        files = spark.read.parquet(f"{root}/{FILES}")
+        files = _read(spark, f"{root}/{FILES}")
     except AnalysisException as error:
         raise ValueError(f"nothing imported below {root}") from error
     if table is not None:
@@ -95,7 +96,7 @@ def recording_files(spark: SparkSession, root: str, table: str | None = None) ->
 def recording_signals(spark: SparkSession, root: str, table: str | None = None) -> DataFrame:
     """The signal catalog of the imports which count."""
     live = recording_files(spark, root, table).select("import_table", "import_id").distinct()
-    return spark.read.parquet(f"{root}/{SIGNALS}").join(live, ["import_table", "import_id"], "left_semi")
+    return _read(spark, f"{root}/{SIGNALS}").join(live, ["import_table", "import_id"], "left_semi")
 
 
 def read_imported(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -108,6 +109,15 @@ def read_imported(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*[f"{root}/{table}/import_id={i}" for i in sorted(ids)])
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A catalog; ids that look like numbers or dates stay the text they are."""
+    schema = spark.read.parquet(path).schema
+    for field in schema.fields:
+        if field.name in ("import_table", "import_id"):
+            field.dataType = StringType()
+    return spark.read.schema(schema).parquet(path)
+
+
 def _add(df: DataFrame, path: str, table: str, import_id: str) -> None:
     (
         df.withColumns({"import_table": F.lit(table), "import_id": F.lit(import_id)})
