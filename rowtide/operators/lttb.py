@@ -155,8 +155,9 @@ def hull_candidates(code: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarra
     the line stay.
     """
     keep = np.zeros(len(code), dtype=bool)
+    ends = _extremes(code, x, y)
     for sign in (1.0, -1.0):
-        index = np.arange(len(code))
+        index = ends
         while len(index) > 2:
             a, b, c = index[:-2], index[1:-1], index[2:]
             left, right = (x[b] - x[a]) * (y[c] - y[a]), (x[c] - x[a]) * (y[b] - y[a])
@@ -169,6 +170,24 @@ def hull_candidates(code: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarra
     return keep
 
 
+def _extremes(code: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the lowest and the highest value of each group and time, the first of each.
+
+    For one time the area is linear in the value before its sign is dropped, so nothing
+    between them is larger.
+    """
+    if not len(code):
+        return np.arange(0)
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (x[1:] != x[:-1])])
+    sizes = np.diff(np.r_[first, len(code)])
+    found = []
+    for end in (np.minimum, np.maximum):
+        at = np.flatnonzero(y == np.repeat(end.reduceat(y, first), sizes))
+        run = np.searchsorted(first, at, side="right")
+        found.append(at[np.r_[True, run[1:] != run[:-1]]])
+    return np.union1d(*found)
+
+
 def _chain(
     pdf: pd.DataFrame, start: tuple[float, float] | None, after: tuple[float, float] | None
 ) -> pd.DataFrame:

@@ -227,26 +227,27 @@ def walk_frames(file: _File, header: Header) -> Iterator[tuple[bytes, list[tuple
     """
     width = (len(header.signals) + 7) // 8
     layouts: dict[bytes, _Layout] = {}
-    data = b""
+    data, at = b"", 0
     body = file.size - 8  # frames end here, the marker follows
     while True:
-        left = body - file.at
-        data += file.take(min(_READ_BYTES, left), "frames") if left > 0 else b""
-        final = file.at >= body
-        at, runs, frames = 0, [], 0
-        while at < len(data) and frames < _BATCH_FRAMES:
+        runs, frames = [], 0
+        needed = 0  # bytes of the next frame, as far as known, where it is not whole
+        while frames < _BATCH_FRAMES:
             bitmap = data[at : at + width]
             if len(bitmap) < width:
+                needed = width
                 break
             layout = layouts.get(bitmap) or layouts.setdefault(bitmap, _Layout(header, bitmap))
             if layout.varying:
                 try:
                     anchors = np.array([layout.anchors(data, at)])
                 except _NeedMore:
+                    needed = width
                     break
             else:
                 n = min((len(data) - at) // layout.tail, _BATCH_FRAMES - frames)
                 if n == 0:
+                    needed = layout.tail
                     break
                 heads = np.ndarray((n, width), np.uint8, data, at, (layout.tail, 1))
                 other = (heads != np.frombuffer(bitmap, np.uint8)).any(axis=1)
@@ -258,11 +259,13 @@ def walk_frames(file: _File, header: Header) -> Iterator[tuple[bytes, list[tuple
             at = int(anchors[-1, -1])
         if runs:
             yield data, runs
-        data = data[at:]
-        if final and not data:
-            break
-        if final and not runs:
-            raise RecordingError("file ended while reading a frame")
+        if needed:  # all whole frames are out: only the beginning of one is copied
+            rest, left = len(data) - at, max(0, body - file.at)
+            if not rest and not left:
+                break
+            if not left or needed > rest + left:
+                raise RecordingError("file ended while reading a frame")
+            data, at = data[at:] + file.take(min(max(_READ_BYTES, rest), left), "frames"), 0
     if file.size - file.at != 8 or file.number("Q", "end marker") != END_MARKER:
         raise RecordingError("end marker is missing or cut off")
 
@@ -340,6 +343,18 @@ def list_recordings(path: str, suffix: str = ".bin") -> list[tuple[str, int]]:
     return sorted((prefix + f.path, f.size) for f in found if f.is_file and (info.is_file or f.path.endswith(suffix)))
 
 
+def _ends(path: str, size: int) -> tuple[Decimal | None, bool]:
+    """The version a file names, whatever follows, and whether it ends with the marker."""
+    if size < 8:
+        return None, False
+    fs, inner = _filesystem(path)
+    with fs.open_input_file(inner) as file:
+        first = file.read(8)
+        file.seek(size - 8)
+        last = file.read(8)
+    return Decimal(struct.unpack("<Q", first)[0]), struct.unpack("<Q", last)[0] == END_MARKER
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
@@ -436,12 +451,13 @@ class _RecordingReader(DataSourceReader):
                 frames += sum(len(a) for _, a in runs)
         except RecordingError as e:
             error = str(e)
+        version, marked = _ends(path, size)
         return (
             path,
-            Decimal(VERSION) if header else None,
+            version,
             len(header.signals) if header else None,
             0 if error else frames,
-            error is None,
+            marked,
             size,
             "rejected" if error else "valid",
             error,

@@ -12,7 +12,8 @@ import csv
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, DataFrameReader, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowtide.functions.markers import Inherit, equal_to, inherits
@@ -28,10 +29,11 @@ class SparseFormat:
 
     ``inherit``: ``"whitespace"``, ``"empty"`` or, with a ``marker`` of one's own,
     ``"marker"``; reading also takes a function of the cell. ``skip_rows`` counts
-    rows after the header. Bytes that are not
-    UTF-8 raise, or become U+FFFD with ``strict_encoding=False``. ``encoding`` other than UTF-8 and ``multi_line`` (line
-    breaks inside quotes) read a file in one task and lose blank lines; which encodings
-    there are depends on Spark (``spark.sql.legacy.javaCharsets``).
+    rows after the header. Bytes that are not of the encoding raise, or become U+FFFD with
+    ``strict_encoding=False``. Any codec of Python whose line breaks are those of ASCII
+    can be read in splits; others (UTF-16) and ``multi_line`` (line breaks inside quotes)
+    read a file in one task and lose blank lines. Which encodings can be written depends
+    on Spark (``spark.sql.legacy.javaCharsets``).
     """
 
     delimiter: str = ","
@@ -223,11 +225,26 @@ def _text_options(fmt: SparseFormat) -> dict[str, str]:
 
 
 def _plain(fmt: SparseFormat) -> bool:
-    return not fmt.multi_line and fmt.charset == "utf-8"
+    """Whether a line can be told from its bytes: line breaks are those of ASCII."""
+    return not fmt.multi_line and "\r\n".encode(fmt.encoding) == b"\r\n"
 
 
-def _lines(spark: SparkSession, path, fmt: SparseFormat) -> DataFrame:
-    return spark.read.text([path] if isinstance(path, str) else list(path))
+def _separated(reader: DataFrameReader, fmt: SparseFormat) -> DataFrameReader:
+    """The reader told of an unusual line separator; the usual ones it finds itself."""
+    return reader if fmt.line_sep in ("\n", "\r\n", "\r") else reader.option("lineSep", fmt.line_sep)
+
+
+def _decoded(lines: DataFrame, fmt: SparseFormat) -> DataFrame:
+    """``value``, the bytes of a line, as text of the format's encoding."""
+    if fmt.charset == "utf-8":
+        return lines
+    name, errors = fmt.encoding, "strict" if fmt.strict_encoding else "replace"
+
+    @F.pandas_udf("string")
+    def decoded(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda line: None if line is None else bytes(line).decode(name, errors))
+
+    return lines.withColumn("value", decoded(F.col("value").cast("binary")))
 
 
 def _column_names(
@@ -238,9 +255,10 @@ def _column_names(
     paths = [path] if isinstance(path, str) else list(path)
     for file in sorted(spark.read.text(paths).inputFiles()):
         if _plain(fmt):
-            lines = [r["value"] for r in spark.read.text(file).take(1)]
+            text = _separated(spark.read, fmt).text(file).limit(1)
+            lines = [r["value"] for r in _decoded(text, fmt).collect()]
         else:
-            reader = spark.read.option("multiLine", fmt.multi_line).option("encoding", fmt.charset)
+            reader = _separated(spark.read, fmt).option("multiLine", fmt.multi_line).option("encoding", fmt.charset)
             row = reader.options(**_text_options(fmt)).csv(file).take(1)
             if row:
                 first = ["" if v is None else v for v in row[0]]
@@ -283,15 +301,15 @@ def _parse(
     ]
     if _plain(fmt):
         # spark.read.csv would drop blank lines, which repeat the row above
-        lines = spark.read.text(paths).select(*place, "value")
-        if fmt.strict_encoding:
+        lines = _decoded(_separated(spark.read, fmt).text(paths).select(*place, "value"), fmt)
+        if fmt.strict_encoding and fmt.charset == "utf-8":
             bad = F.concat(F.col("__file"), F.lit(": bytes that are not UTF-8"))
             lines = lines.withColumn(
                 "value", F.when(~F.is_valid_utf8("value"), F.raise_error(bad)).otherwise(F.col("value"))
             )
         parsed_ = lines.withColumn("r", F.from_csv("value", schema, _text_options(fmt)))
         return parsed_.select("__file", "__block", "__pos", "r.*").select("__file", "__block", "__pos", *kept)
-    reader = spark.read.schema(schema).options(**_text_options(fmt))
+    reader = _separated(spark.read, fmt).schema(schema).options(**_text_options(fmt))
     reader = reader.option("multiLine", fmt.multi_line).option("encoding", fmt.charset)
     reader = reader.option("enforceSchema", True)
     return reader.csv(paths).select(*place, *cells).select("__file", "__block", "__pos", *kept)

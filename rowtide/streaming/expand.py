@@ -110,8 +110,10 @@ def _carry(
         table = spark.read.schema(f"{fields}, kind string, batch_id bigint").parquet(state)
         table = table.where(F.col("batch_id") < batch_id)
         since = table.where("kind = 'snapshot'").agg(F.max("batch_id")).first()[0]
-    except AnalysisException:  # nothing written yet
-        return empty, None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty, None  # nothing written yet
     if since is None:
         return empty, None
     rows = table.where(F.col("batch_id") >= since)
