@@ -43,9 +43,8 @@ def _oriented(ends: DataFrame) -> DataFrame:
 
 
 def _is_stars(links: DataFrame) -> bool:
-    """Whether no node hangs on two others, or is hung on while hanging itself."""
-    once = links.groupBy("high").agg(F.count(F.lit(1)).alias("n"))
-    if not once.where("n > 1").isEmpty():
-        return False
-    centres = links.select(F.col("low").alias("high")).distinct()
-    return links.join(centres, "high", "left_semi").isEmpty()
+    """Whether no node hangs on two others, or is hung on while hanging itself; one job."""
+    hung = links.select(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = hung.union(links.select("low", F.lit(0), F.lit(1)))
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return counts.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
