@@ -203,11 +203,13 @@ def _classes(documents: DataFrame, percent: int, shingle_words: int, neighbours:
         own = parts.select(F.col("node").alias(end), F.col("component").alias("c" + end))
         pairs = pairs.join(own, end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
     rest = pairs.where("ca <> cb").join(best.select("a", "b"), ["a", "b"], "left_anti")
-    more = _confirmed(rest.select("a", "b", "ta", "tb"), texts, shingle_words, percent)
-    parts = stage(connected_components(links.union(more), "a", "b"), "parts")
+    # from here on components are the nodes, so the second graph is small and shallow
+    more = _confirmed(rest.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "ta", "tb"), texts, shingle_words, percent)
+    wholes = connected_components(more, "a", "b").select(F.col("node").alias("part"), F.col("component").alias("whole"))
 
     of = nodes.select("node", "least_id").join(parts, "node", "left")
-    of = stage(of.select("node", "least_id", F.coalesce("component", "node").alias("component")), "classes")
+    of = of.withColumn("part", F.coalesce("component", "node")).join(stage(wholes, "wholes"), "part", "left")
+    of = stage(of.select("node", "least_id", F.coalesce("whole", "part").alias("component")), "classes")
     least = stage(of.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
     of = stage(of.join(least, "component").select("node", "component", "component_id"), "classes")
     return found, of
