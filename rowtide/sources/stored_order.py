@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from rowtide.plans.staging import stage
 
-_BROADCAST_FILES = 100_000  # rows of two short cells each
-
 
 def read_stored_order(
     spark: SparkSession, path: str | Sequence[str], row_index: str = "row_index"
@@ -30,9 +28,7 @@ def read_stored_order(
         "__rt_file",
         "sum(__rt_n) over (order by __rt_file) - __rt_n as __rt_start",  # one row per file
     )
-    starts = stage(starts, "files")
-    if len(table.inputFiles()) <= _BROADCAST_FILES:
-        starts = F.broadcast(starts)
+    starts = stage(starts, "files")  # written, its size is known: the planner broadcasts it while it is small
     placed = table.select(
         "*", F.col("_metadata.file_path").alias("__rt_at"), F.col("_metadata.row_index").alias("__rt_row")
     )
