@@ -41,3 +41,22 @@ def test_lines_of_a_template(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(8)
     kept = kept_lines(df)
     assert set(range(len(lines))) - kept == {i + 1 for i in twins}
+
+
+def test_lines_of_few_words(spark):
+    rnd = random.Random(6)
+    lines = []
+    for _ in range(60):
+        # 240 characters: ten words are just enough for the shingles of words, nine are too few
+        parts = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(23)) for _ in range(10)]
+        lines += [" ".join(parts) + "x", " ".join(parts[:9]) + parts[9] + "x"]
+    sets = [shingles(x) for x in lines]
+    assert min(jaccard(sets[i], sets[i + 1]) for i in range(0, 120, 2)) > 0.9
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(8)
+    assert kept_lines(df) == set(range(0, 120, 2))
+
+
+def test_bands_of_all_regions(spark):
+    # hashes of the last two regions alone
+    df = spark.sql("SELECT array(array(1500000000, 1600000000, 2000000000), cast(array() AS array<int>)) AS sketch")
+    assert len(df.select(fuzzy_lines._bands(df["sketch"]).alias("b")).first()["b"]) == 2
