@@ -3,10 +3,12 @@
 Rows with equal shingle sets are folded into one node first. A node has ``TREES`` labels,
 each of ``DEPTH`` min-hashes; a tree is the nodes sorted by one label. Nodes that share a
 prefix form a region, and the depth of the prefix adapts to the region: it starts at
-``FIRST_DEPTH`` and grows only where more than ``REGION`` nodes share it. Within a region
-a node's candidates are its nearest neighbours in label order, which are those with the
-longest common prefix. Nodes whose whole labels agree, more than ``REGION`` of them, are
-also each compared with one of them.
+``FIRST_DEPTH`` and grows only where more than ``REGION`` nodes share it. All nodes of a
+region that is not crowded are candidates of each other. In the deeper regions of a
+crowded one a node's candidates are its nearest neighbours in label order, which are those
+with the longest common prefix. Nodes whose whole labels agree, more than ``REGION`` of
+them, are also each compared with one of them. Where this leaves more than one component
+in a crowded region, its nodes join an exact prefix-filter join, which leaves no pair out.
 
 Candidates whose signatures agree too little for the threshold are left out (by more
 than four standard deviations). The others are confirmed on the full sets, made again
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowtide.llm.components import connected_components
+from rowtide.llm.prefix_join import crossing_pairs
 from rowtide.llm.shared import column, free_names
 from rowtide.llm.text_arrays import mixed, text_words
 from rowtide.plans.staging import stage
@@ -103,8 +106,11 @@ def _nodes(shingle_words: int):
 # --- candidates ------------------------------------------------------------------------
 
 
-def _candidates(nodes: DataFrame, estimate: float, neighbours: int) -> DataFrame:
-    """``a`` < ``b``, ``alike`` (share of equal min-hashes): distinct pairs of near neighbours."""
+def _candidates(nodes: DataFrame, estimate: float, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """``a`` < ``b``, ``alike`` (share of equal min-hashes): distinct pairs of near neighbours.
+
+    And ``id``, ``region`` of the nodes in crowded regions, where not all pairs are among them.
+    """
     paths = [
         F.xxhash64("tree", F.slice("signature", F.col("tree") * DEPTH + 1, d)).alias(f"p{d}")
         for d in range(FIRST_DEPTH, DEPTH + 1)
@@ -117,7 +123,13 @@ def _candidates(nodes: DataFrame, estimate: float, neighbours: int) -> DataFrame
         path = f"p{d}"
         sizes = stage(open_.groupBy(path).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "regions")
         joined = open_.join(sizes, path)
-        if d < DEPTH:
+        if d == FIRST_DEPTH:
+            small = joined.where(F.col("n") <= REGION).groupBy(path).agg(F.sort_array(F.collect_set("id")).alias("all"))
+            small = small.select("all", F.posexplode("all").alias("at", "a"))
+            whole = small.select("a", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("b"))
+            open_ = stage(joined.where(F.col("n") > REGION).drop("n"), "open")
+            crowded = open_.select("id", F.col(path).alias("region"))
+        elif d < DEPTH:
             regions.append(joined.where(F.col("n") <= REGION).select("id", F.col(path).alias("region"), *deeper))
             open_ = stage(joined.where(F.col("n") > REGION).drop("n"), "open")
         else:
@@ -136,7 +148,7 @@ def _candidates(nodes: DataFrame, estimate: float, neighbours: int) -> DataFrame
     pairs = pairs.where("other IS NOT NULL").select(
         F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")
     )
-    pairs = stage(pairs.union(stars).distinct(), "candidates")
+    pairs = stage(pairs.union(stars).union(whole).distinct(), "candidates")
     # 64 bits find the nodes; should two nodes share them, both become candidates
     known = nodes.select(F.xxhash64("node").alias("id"), "node", "signature", "text_key")
     for end in ("a", "b"):
@@ -151,7 +163,7 @@ def _candidates(nodes: DataFrame, estimate: float, neighbours: int) -> DataFrame
         F.when(first, F.col("tb")).otherwise(F.col("ta")).alias("tb"),
         (same / (TREES * DEPTH)).alias("alike"),
     )
-    return stage(pairs.where(F.col("alike") >= estimate), "candidates")
+    return stage(pairs.where(F.col("alike") >= estimate), "candidates"), crowded
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -173,6 +185,31 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent:
     return stage(pairs.select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a string, b string"), "links")
 
 
+def _crowds_joined(of: DataFrame, crowded: DataFrame, rows: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """``part``, ``whole``: components that a pair of nodes in crowded regions links."""
+
+    def tokens(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in frames:
+            sets = [shingle_set(w, shingle_words).view(np.int64) for w in word_lists(some["text"].tolist())]
+            yield some[["node", "component"]].assign(tokens=sets)
+
+    known = of.select(F.xxhash64("node").alias("id"), "node", "text_key", "component")
+    crowded = stage(crowded.join(known, "id").drop("id"), "crowded")
+    mixed = crowded.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = stage(mixed.where("low <> high").select("region"), "mixed-regions")
+    apart = stage(crowded.join(mixed, "region").select("node", "text_key", "component").distinct(), "apart")
+    texts = rows.join(apart.select("text_key").distinct(), "text_key", "left_semi")
+    texts = stage(texts.groupBy("text_key").agg(F.min("text").alias("text")), "texts")
+    sets = apart.join(texts, "text_key").select("node", "component", "text")
+    pairs = crossing_pairs(sets.mapInPandas(tokens, "node string, component string, tokens array<long>"), percent)
+    for end in ("a", "b"):
+        own = [F.col("component").alias("c" + end), F.col("text_key").alias("t" + end)]
+        pairs = pairs.join(apart.select(F.col("node").alias(end), *own), end)
+    links = _confirmed(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "ta", "tb"), texts, shingle_words, percent)
+    wholes = connected_components(links, "a", "b")
+    return stage(wholes.select(F.col("node").alias("part"), F.col("component").alias("whole")), "wholes")
+
+
 def _classes(documents: DataFrame, percent: int, shingle_words: int, neighbours: int) -> tuple[DataFrame, DataFrame]:
     """Rows of documents with their nodes; the nodes' components. Both written."""
     rows = documents.select(column(documents, "doc_id", "bigint"), column(documents, "text", "string"))
@@ -186,7 +223,7 @@ def _classes(documents: DataFrame, percent: int, shingle_words: int, neighbours:
     nodes = stage(nodes.select("node", "least_id", "one.text_key", "one.signature"), "nodes")
     share = percent / 100
     spread = (share * (1 - share) / (TREES * DEPTH)) ** 0.5
-    pairs = _candidates(nodes, share - 4 * spread, neighbours)
+    pairs, crowded = _candidates(nodes, share - 4 * spread, neighbours)
     needed = pairs.select(F.col("ta").alias("text_key")).union(pairs.select("tb")).distinct()
     texts = rows.join(stage(needed, "keys"), "text_key", "left_semi")
     texts = stage(texts.groupBy("text_key").agg(F.min("text").alias("text")), "texts")
@@ -207,8 +244,11 @@ def _classes(documents: DataFrame, percent: int, shingle_words: int, neighbours:
     more = _confirmed(rest.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "ta", "tb"), texts, shingle_words, percent)
     wholes = connected_components(more, "a", "b").select(F.col("node").alias("part"), F.col("component").alias("whole"))
 
-    of = nodes.select("node", "least_id").join(parts, "node", "left")
+    of = nodes.select("node", "least_id", "text_key").join(parts, "node", "left")
     of = of.withColumn("part", F.coalesce("component", "node")).join(stage(wholes, "wholes"), "part", "left")
+    of = stage(of.select("node", "least_id", "text_key", F.coalesce("whole", "part").alias("component")), "classes")
+    wholes = _crowds_joined(of, crowded, rows, shingle_words, percent)
+    of = of.withColumnRenamed("component", "part").join(wholes, "part", "left")
     of = stage(of.select("node", "least_id", F.coalesce("whole", "part").alias("component")), "classes")
     least = stage(of.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
     of = stage(of.join(least, "component").select("node", "component", "component_id"), "classes")

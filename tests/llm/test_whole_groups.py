@@ -2,7 +2,7 @@
 
 import random
 
-from rowtide.llm import fuzzy_lines
+from rowtide.llm import fuzzy_lines, lsh_forest
 
 
 def jaccard(a, b):
@@ -60,3 +60,15 @@ def test_bands_of_all_regions(spark):
     # hashes of the last two regions alone
     df = spark.sql("SELECT array(array(1500000000, 1600000000, 2000000000), cast(array() AS array<int>)) AS sketch")
     assert len(df.select(fuzzy_lines._bands(df["sketch"]).alias("b")).first()["b"]) == 2
+
+
+def test_documents_of_a_template(spark):
+    texts = templated(random.Random(7), 500, 120, 160, 40, 10)
+    sets = [{tuple(x.split()[i : i + 3]) for i in range(198)} for x in texts]
+    assert min(jaccard(sets[i], sets[i + 1]) for i in range(0, 240, 2)) >= 0.85
+    assert max(jaccard(sets[i], sets[i + 2]) for i in range(0, 240, 2)) < 0.85
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows = lsh_forest.near_duplicates(df).collect()
+    twins = set(range(1, 240, 2))
+    assert {r["doc_id"] for r in rows if not r["kept"]} == twins
+    assert all(r["component_id"] == r["doc_id"] - (r["doc_id"] in twins) for r in rows)
