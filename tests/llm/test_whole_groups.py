@@ -2,7 +2,7 @@
 
 import random
 
-from rowtide.llm import fuzzy_lines, lsh_forest
+from rowtide.llm import fuzzy_lines, lsh_forest, trie_lm
 
 
 def jaccard(a, b):
@@ -72,3 +72,12 @@ def test_documents_of_a_template(spark):
     twins = set(range(1, 240, 2))
     assert {r["doc_id"] for r in rows if not r["kept"]} == twins
     assert all(r["component_id"] == r["doc_id"] - (r["doc_id"] in twins) for r in rows)
+
+
+def test_trie_keeps_long_contexts_and_single_ngrams(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(words(rnd, 30)) for _ in range(20)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = trie_lm.Model(trie_lm.train(df))
+    trigrams = {tuple(w[i : i + 3]) for w in map(str.split, texts) for i in range(28)}
+    assert len(model.levels) == 2 and model.size(3) >= len(trigrams)
