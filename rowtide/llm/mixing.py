@@ -114,6 +114,25 @@ def mix(
     Rows that are equal in both may change places. Rows without words take none; an
     empty table gives no rows; other columns stay as they are.
     """
+    return _mix(documents, weights, share, most_repeats, seed, block_words, shard_documents, keep)
+
+
+def _mix(
+    documents: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = 1.5,
+    most_repeats: int = 2,
+    seed: int = 42,
+    block_words: int = BLOCK_WORDS,
+    shard_documents: int = SHARD_DOCUMENTS,
+    keep: Sequence[str] | None = None,
+    stretches: str | None = None,
+) -> DataFrame:
+    """As ``mix``; with a name for ``stretches``, also what a last, partial copy has.
+
+    These are structs of the first word (from 0) and the word after the last, in order,
+    one for each drawn block the row meets; NULL if there are none.
+    """
     size, source_size, target, taken = free_names(documents, "size", "source_size", "target", "taken")
     key, text = column(documents, "doc_id", "string"), column(documents, "text", "string")
     rows = documents.select(
@@ -173,6 +192,25 @@ def mix(
     stream = cell.orderBy("deal").rowsBetween(Window.unboundedPreceding, 0)
     docs = placed(rows.select("row", "size", "deal", "source")).withColumn("end", F.sum("size").over(stream))
     docs = docs.withColumn("begin", F.col("end") - F.col("size"))
+    more = []
+    if stretches:
+        # rows with one place in the stream are equal in id and text, so a second pass over the stream may swap them
+        spans = placed(narrow).where("size > 0").withColumn("end", F.sum("size").over(stream))
+        spans = spans.select("place", "shard", (F.col("end") - F.col("size")).alias("begin"), "end")
+        met = F.sequence(F.floor(F.col("begin") / block_words), F.floor((F.col("end") - 1) / block_words))
+        spans = spans.withColumn("block", F.explode(met))
+        spans = spans.join(blocks.where("part > 0").select("place", "shard", "block", "part"), ["place", "shard", "block"])
+        start = F.col("block") * block_words
+        one = F.struct(
+            (F.greatest("begin", start) - F.col("begin")).alias("first"),
+            (F.least("end", start + F.col("part")) - F.col("begin")).alias("after"),
+        )
+        spans = spans.select(F.col("place").alias("p"), F.col("shard").alias("h"), F.col("begin").alias("b"), one.alias("one"))
+        spans = spans.where("one.first < one.after").groupBy("p", "h", "b").agg(F.sort_array(F.collect_list("one")).alias("stretches"))
+        spans = stage(spans, "stretches")
+        same = (F.col("place") == F.col("p")) & (F.col("shard") == F.col("h")) & (F.col("begin") == F.col("b"))
+        docs = docs.join(spans, same & (F.col("size") > 0), "left").drop("p", "h", "b")
+        more = [F.col("stretches").alias(stretches)]
     for name, place in (("begin", F.col("begin")), ("end", F.col("end"))):
         # a stream's end is the end of its last block
         block = F.when(place > 0, F.floor((place - 1) / block_words)).otherwise(0)
@@ -191,27 +229,43 @@ def mix(
         F.col("source_size").alias(source_size),
         F.col("target").alias(target),
         (F.col("upto_end") - F.col("upto_begin")).cast("long").alias(taken),
+        *more,
     )
 
 
 def mixed_rows(documents: DataFrame, **how) -> DataFrame:
     """The mix itself: rows with the columns of the documents, a row for each copy taken.
 
-    A copy that is taken in part has its first words, with the white space between them;
-    ``n_chars``, if there, is counted anew for it. Rows of which nothing is taken go.
+    A copy that is taken in part is a row for each stretch of neighbouring words that the
+    drawn blocks cover, with the white space between them; ``n_chars``, if there, is
+    counted anew for it. Rows of which nothing is taken go.
     """
     size, _, _, taken = free_names(documents, "size", "source_size", "target", "taken")
-    copy, words = free_names(documents, "copy", "words")
-    mixed = mix(documents, **how).where(F.col(taken) > 0)
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size))))
-    mixed = mixed.withColumn(copy, copies)
-    mixed = mixed.withColumn(words, F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size)))
-    cut = F.col(words) < F.col(size)
+    stretches, stretch = free_names(documents, "stretches", "stretch")
+    mixed = _mix(documents, stretches=stretches, **how).where(F.col(taken) > 0)
+    one = "struct<first:bigint,after:bigint>"
+
+    def joined(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["first"], x["after"]).cast(one)))
+        touches = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["after"] == x["first"])
+        return F.when(touches, longer).otherwise(F.concat(done, F.array(x.cast(one))))
+
+    whole = F.struct(F.lit(0).cast("long").alias("first"), F.col(size).alias("after")).cast(one)
+    wholes = F.array_repeat(whole, F.floor(F.col(taken) / F.col(size)).cast("int"))
+    # a remainder of all words is a whole copy and counted as one
+    partly = F.pmod(F.col(taken), F.col(size)) > 0
+    parts = F.aggregate(F.col(stretches), F.array().cast(f"array<{one}>"), joined)
+    copies = F.when(partly, F.concat(wholes, parts)).otherwise(wholes)
+    mixed = mixed.withColumn(stretch, F.explode(copies))
+    first, after = F.col(stretch)["first"], F.col(stretch)["after"]
+    cut = after - first < F.col(size)
     # a piece is a word with the white space behind it; white space in front is one of its own
     pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    first = F.array_join(F.slice(pieces, F.lit(1), (F.col(words) + lead).cast("int")), "")
-    mixed = mixed.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    start = F.when(first > 0, first + lead).otherwise(0)
+    some = F.array_join(F.slice(pieces, (start + 1).cast("int"), (after + lead - start).cast("int")), "")
+    mixed = mixed.withColumn("text", F.when(cut, some).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         mixed = mixed.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

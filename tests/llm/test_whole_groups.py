@@ -2,7 +2,7 @@
 
 import random
 
-from rowtide.llm import fuzzy_lines, lsh_forest, trie_lm
+from rowtide.llm import fuzzy_lines, lsh_forest, mixing, trie_lm
 
 
 def jaccard(a, b):
@@ -81,3 +81,14 @@ def test_trie_keeps_long_contexts_and_single_ngrams(spark):
     model = trie_lm.Model(trie_lm.train(df))
     trigrams = {tuple(w[i : i + 3]) for w in map(str.split, texts) for i in range(28)}
     assert len(model.levels) == 2 and model.size(3) >= len(trigrams)
+
+
+def test_stretches_of_the_drawn_blocks(spark):
+    text = " " + " ".join(f"w{i}" for i in range(1000)) + " "
+    df = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    rows = [r["text"].split() for r in mixing.mixed_rows(df, share=0.4, block_words=10).collect()]
+    places = [[int(w[1:]) for w in row] for row in rows]
+    assert all(p == list(range(p[0], p[0] + len(p))) for p in places)
+    taken = sorted(i for p in places for i in p)
+    assert len(taken) == len(set(taken)) == 400 and taken[-1] > 800
+    assert all(p[0] % 10 == 0 and len(p) % 10 == 0 for p in places)
