@@ -41,4 +41,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by ``stage``, after the last use of each; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path is not None:
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared folder, on whatever file system it lies."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).delete(made, True)
