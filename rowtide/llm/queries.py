@@ -10,12 +10,15 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from rowtide.llm import (
+    automaton_search,
     byte_bpe,
+    centroids,
     embedding_dedup,
     fuzzy_lines,
     lsh_forest,
     mixing,
     quality,
+    repeated_spans,
     threshold_topk,
     token_blocks,
     trie_lm,
@@ -73,6 +76,18 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.token_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_centroid_clustering(spark, sf_dir):
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dedup(spark, sf_dir):
+    return repeated_spans.remove_repeated_spans(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op13_lexical_search(spark, sf_dir):
+    return automaton_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 # --- pipeline --------------------------------------------------------------------------
 
 
@@ -125,12 +140,15 @@ def queries():
     functions = [
         op1_embedding_near_dedup, op2_quality_classifier, op3_warc, op4_token_blocks, op5_source_mixing,
         op6_trie_lm, op7_fuzzy_lines, op8_lsh_forest, op9_threshold_topk, op10_byte_bpe,
+        op11_centroid_clustering, op12_suffix_dedup, op13_lexical_search,
     ]
     return {f.__name__: f for f in functions}
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 _COMPONENTS = """
     reach AS (
       SELECT a AS x, b AS y FROM both_ways
@@ -139,6 +157,38 @@ _COMPONENTS = """
     least AS (SELECT x, least(x, min(y)) AS component FROM reach GROUP BY x)"""
 
 
+def _clustering_sql(rounds=10):
+    """Each round's vectors with their cluster, and its centroids, one table after the other."""
+    nearest = """SELECT vec_id, v, arg_min(cluster, (square, cluster)) AS cluster, min(square) AS distance FROM (
+        SELECT vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS square
+        FROM v CROSS JOIN {centroids}) GROUP BY vec_id, v"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest.format(centroids=f'c{i}')})")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (
+          SELECT cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN (
+            SELECT cluster, list(mean ORDER BY place) AS m FROM (
+              SELECT cluster, place, CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS BIGINT) AS mean FROM (
+                SELECT cluster, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+                  SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i}) GROUP BY ALL))
+            GROUP BY cluster) USING (cluster))""")
+    steps = ",\n".join(steps)
+    return f"""
+        WITH v AS MATERIALIZED (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, v AS c FROM v
+          ORDER BY sha256('3:' || vec_id) LIMIT 8),
+        {steps},
+        e AS MATERIALIZED ({nearest.format(centroids=f"c{rounds}")})
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+               CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM e JOIN c{rounds} USING (cluster)"""
+
+
 def oracle_sql():
     return {
         "op1_embedding_near_dedup": f"""
@@ -190,4 +240,21 @@ def oracle_sql():
             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
                   FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+        "op11_centroid_clustering": _clustering_sql(),
+        "op13_lexical_search": f"""
+            WITH w AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+            d AS (SELECT doc_id, w, len(w) AS n FROM w WHERE len(w) > 0),
+            s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+            f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+            t AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+                  FROM f, s GROUP BY term, n_docs),
+            q AS (SELECT item_id, term, count(*) AS times
+                  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+            m AS (SELECT doc_id, 100 - 25 + ((25 * n * n_docs) // n_terms) AS m FROM d, s),
+            r AS (SELECT item_id, doc_id,
+                    CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+                  FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+            o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+                  FROM r WHERE score > 0)
+            SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20""",
     }
