@@ -604,9 +604,7 @@ def _llm():
     try:
         import corpus_pipeline
         from rowtide.llm import queries as llm
-    except ModuleNotFoundError as missing:
-        if missing.name not in ("corpus_pipeline", "rowtide.llm", "rowtide.llm.queries"):
-            raise
+    except ImportError:  # their files or a library they need are not there
         return None
     return corpus_pipeline, llm
 
@@ -775,9 +773,9 @@ def oracle_sql() -> dict[str, str]:
     } | _llm_sql()
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """One entry per operator and form; each takes (spark, sf_dir)."""
-    functions = [
+def core_queries() -> list[Callable[[SparkSession, str], DataFrame]]:
+    """The queries of the order-aware library, without those for training data; each has SQL."""
+    return [
         sparsify_events, expand_events, expand_sparse_events, expand_last_purchase_by_user, expand_orders_by_priority,
         expand_events_aggregate, sparsify_lineitem, sparsity_stats_events, sparsity_stats_lineitem,
         compare_orders_lineitem, range_orders_key, range_orders_price, range_events_value_below,
@@ -792,7 +790,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         recording_frame_counts, recording_import_check, stream_expand_by_user, stream_bernoulli,
         stream_sparse_sink, stream_recording_import,
     ]
-    return {f.__name__: f for f in functions} | _llm_queries()
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """One entry per operator and form; each takes (spark, sf_dir)."""
+    return {f.__name__: f for f in core_queries()} | _llm_queries()
 
 
 def entry(spark: SparkSession) -> DataFrame:
