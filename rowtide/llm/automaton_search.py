@@ -147,16 +147,13 @@ def _scored(terms: Terms, weights: np.ndarray, documents: int, words: int, k: in
 
 def _passes(terms: DataFrame, term_bytes: int) -> list[DataFrame]:
     """The terms dealt by item into passes of at most ``term_bytes``, or of one item."""
-    whole = terms.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0)), F.count("term")).first()
-    if not whole[1]:
-        return []
-    n = -(-whole[0] // term_bytes)
+    sizes = terms.groupBy("item").agg(F.sum(F.octet_length("term")).alias("bytes"))
+    n = sizes.agg(F.coalesce(F.ceil(F.sum(F.least("bytes", F.lit(term_bytes))) / term_bytes), F.lit(1))).first()[0]
     while True:
-        dealt = terms.withColumn("pass", F.pmod(F.xxhash64("item"), F.lit(n)))
-        sizes = dealt.groupBy("pass", "item").agg(F.sum(F.octet_length("term")).alias("bytes"))
-        sizes = sizes.groupBy("pass").agg(F.sum("bytes").alias("bytes"), F.count("item").alias("items"))
-        if n == 1 or sizes.where((F.col("bytes") > term_bytes) & (F.col("items") > 1)).isEmpty():
-            return [dealt.where(F.col("pass") == i) for i in range(n)]
+        number = F.pmod(F.xxhash64("item"), F.lit(n))
+        passes = sizes.groupBy(number.alias("pass")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("items")).collect()
+        if n == 1 or not any(r["bytes"] > term_bytes and r["items"] > 1 for r in passes):
+            return [terms.where(number == r["pass"]) for r in passes]
         n *= 2
 
 

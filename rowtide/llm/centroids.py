@@ -28,6 +28,8 @@ from rowtide.plans.staging import release, stage
 BLOCK = 4096
 #: Components up to this size leave room for exact sums of squares in 64 bits.
 LARGEST = 1 << 26
+#: Stands for a NULL id within blocks, whose ids would turn into floating numbers else.
+_NO_ID = -(1 << 63)
 _STATE = "ids array<long>, vectors binary, own binary, upper binary, lower binary, since binary, sums array<long>, distance array<long>, cluster array<int>"
 
 
@@ -50,8 +52,7 @@ def _blocks(size: int):
                 whole = np.stack(part["v"].to_numpy()).astype(np.int64).reshape(len(part), size)
                 if np.abs(whole).max() > LARGEST:
                     raise ValueError(f"components beyond {LARGEST} need more than 64 bits for squared distances")
-                ids = [i if known else None for i, known in zip(part["id"].tolist(), part["known"], strict=True)]
-                yield _row(ids, whole.astype(np.int32).tobytes())
+                yield _row(part["id"].to_numpy(), whole.astype(np.int32).tobytes())
 
     return cut
 
@@ -202,7 +203,7 @@ def cluster_vectors(
         ).where("false")
     k = len(first)
     history = np.array([first], dtype=np.int64)
-    blocks = rows.select(F.coalesce("vec_id", F.lit(0)).alias("id"), F.isnotnull("vec_id").alias("known"), "v")
+    blocks = rows.select(F.coalesce("vec_id", F.lit(_NO_ID)).alias("id"), "v")
     blocks = stage(blocks.mapInPandas(_blocks(size), _STATE), "vector-blocks")
     for _ in range(rounds):
         new = stage(blocks.mapInPandas(_assigned(history, False), _STATE), "vector-blocks")
@@ -226,7 +227,7 @@ def cluster_vectors(
         return F.element_at(F.array(*[F.lit(x) for x in values]), F.col("row.cluster") + 1)
 
     return done.select(row).select(
-        F.col("row.ids").alias("vec_id"),
+        F.nullif(F.col("row.ids"), F.lit(_NO_ID)).alias("vec_id"),
         F.col("row.cluster").alias("cluster"),
         F.col("row.distance").alias("distance"),
         of_cluster([int(x) for x in inertia]).cast("bigint").alias("cluster_inertia"),

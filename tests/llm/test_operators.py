@@ -285,20 +285,29 @@ def test_elias_fano():
 
 def test_trie(spark, table, odd, nothing):
     docs = table("documents")
-    counts, pairs, firsts = Counter(), Counter(), Counter()
     toks = {r["doc_id"]: [*words_of(r["text"]), None] for r in docs.collect()}
     train = [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, grams = Counter(), {2: Counter(), 3: Counter()}
     for i in train:
         counts.update(toks[i])
-        pairs.update(zip([None, *toks[i]], toks[i]))
-    kept = {p: (c - 0.75) / counts[p[0]] for p, c in pairs.items() if c >= 2}
-    for (a, _), share in kept.items():
-        firsts[a] += share
+        for n in grams:  # a text begins after one end
+            grams[n].update(zip(*[[None, *toks[i]][k:] for k in range(n)]))
     n, v = sum(counts.values()), len(counts)
-
-    def chance(a, w):
-        low = max(counts[w] - 0.75, 0) / n + 0.75 * v / n / (v + 1)
-        return kept.get((a, w), 0) + (1 - firsts[a]) * low
+    contexts = {2: counts, 3: grams[2]}
+    left = {n: Counter() for n in grams}  # the mass that a context's continuations have
+    for size, found in grams.items():
+        for gram, c in found.items():
+            context = gram[0] if size == 2 else gram[:2]
+            left[size][context] += (c - 0.75) / contexts[size][context]
+
+    def chance(before, w):
+        p = max(counts[w] - 0.75, 0) / n + 0.75 * v / n / (v + 1)
+        for size in (2, 3):
+            context = before[-1] if size == 2 else tuple(before[-2:])
+            if len(before) >= size - 1 and contexts[size][context]:
+                share = max(grams[size][(*before[1 - size :], w)] - 0.75, 0) / contexts[size][context]
+                p = share + (1 - left[size][context]) * p
+        return p
 
     small = trie_lm.train(docs.where("crc32(cast(string(doc_id) as binary)) % 7 <> 2"), shard_bytes=1 << 16)
     assert small.bits >= 2 and (small.tokens, small.words) == (n, v)
@@ -307,7 +316,7 @@ def test_trie(spark, table, odd, nothing):
         words = toks[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words))
-        exact = sum(math.log10(chance(a, w)) for a, w in zip([None, *words], words))
+        exact = sum(math.log10(chance(([None, *words])[: k + 1], w)) for k, w in enumerate(words))
         assert r["score"] == pytest.approx(exact, abs=0.02 * len(words))  # probabilities are rounded to 8 bits
         if r["held_out"]:
             better = [better[0] + r["score"], better[1] + r["base_score"]]
