@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import codecs
 import csv
+import re
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -21,6 +23,8 @@ from rowtide.functions.typing import NULL_VALUES, hinted, infer_types, null_mapp
 from rowtide.operators.sparse import NULL_TOKEN, sparse_rows
 from rowtide.plans.order import OrderedRows, fill_forward, order_rows
 from rowtide.plans.staging import stage
+from rowtide.sources.quoted_records import ends_inside, joined_records
+from rowtide.sources.text_splits import BadByte, aligned_lines, first_bad_byte, line_break, text_files
 
 
 @dataclass(frozen=True)
@@ -30,10 +34,10 @@ class SparseFormat:
     ``inherit``: ``"whitespace"``, ``"empty"`` or, with a ``marker`` of one's own,
     ``"marker"``; reading also takes a function of the cell. ``skip_rows`` counts
     rows after the header. Bytes that are not of the encoding raise, or become U+FFFD with
-    ``strict_encoding=False``. Any codec of Python whose line breaks are those of ASCII
-    can be read in splits; others (UTF-16) and ``multi_line`` (line breaks inside quotes)
-    read a file in one task and lose blank lines. Which encodings can be written depends
-    on Spark (``spark.sql.legacy.javaCharsets``).
+    ``strict_encoding=False``. Any codec of Python can be read; UTF-16 and UTF-32 take
+    their byte order from a mark, little-endian without. ``multi_line`` allows line breaks
+    inside quotes. All are read in splits and keep blank lines. Which encodings can be
+    written depends on Spark (``spark.sql.legacy.javaCharsets``).
     """
 
     delimiter: str = ","
@@ -89,7 +93,8 @@ def read_sparse_csv(
     fmt = format or SparseFormat(**options)
     if format is not None and options:
         raise ValueError("give either a format or its fields")
-    names, header = _column_names(spark, path, fmt, columns)
+    with _naming_bad_bytes(spark, path, fmt):
+        names, header = _column_names(spark, path, fmt, columns)
     if row_index in names:
         raise ValueError(f"the files have a column {row_index!r}: choose another row_index")
     hints = {c: type_name(t) for c, t in (type_hints or {}).items()}
@@ -100,7 +105,8 @@ def read_sparse_csv(
         return spark.createDataFrame([], ", ".join(([f"`{row_index}` bigint"] if row_index else []) + fields))
 
     cells = [f"c{i}" for i in range(len(names))]
-    staged = stage(_parse(spark, path, fmt, cells, header), "sparse-csv")
+    with _naming_bad_bytes(spark, path, fmt):
+        staged = stage(_parse(spark, path, fmt, cells, header), "sparse-csv")
     rows = _numbered(staged, fmt, cells)
 
     # typing looks at the cells as written: the fill only repeats them
@@ -221,12 +227,13 @@ def rows_restarting(rows: OrderedRows) -> OrderedRows:
 
 
 def _text_options(fmt: SparseFormat) -> dict[str, str]:
-    return {"sep": fmt.delimiter, "quote": fmt.quote, "escape": fmt.quote, "mode": "PERMISSIVE"}
+    options = {"sep": fmt.delimiter, "quote": fmt.quote, "escape": fmt.quote, "mode": "PERMISSIVE"}
+    return options | ({"multiLine": "true"} if fmt.multi_line else {})  # breaks inside quotes stay as they are
 
 
 def _plain(fmt: SparseFormat) -> bool:
-    """Whether a line can be told from its bytes: line breaks are those of ASCII."""
-    return not fmt.multi_line and "\r\n".encode(fmt.encoding) == b"\r\n"
+    """Whether Spark's text source finds the line breaks: they are those of ASCII."""
+    return line_break(fmt.encoding) == b"\n"
 
 
 def _separated(reader: DataFrameReader, fmt: SparseFormat) -> DataFrameReader:
@@ -247,25 +254,53 @@ def _decoded(lines: DataFrame, fmt: SparseFormat) -> DataFrame:
     return lines.withColumn("value", decoded(F.col("value").cast("binary")))
 
 
+def _lines(spark: SparkSession, paths: Sequence[str], fmt: SparseFormat) -> DataFrame:
+    """``file``, ``block`` (begin of the split), ``pos`` (counting up in it) and ``value`` of every line."""
+    if not _plain(fmt):
+        if fmt.line_sep not in ("\n", "\r\n"):
+            raise ValueError(f"lines of {fmt.encoding} files end at line feeds, not at {fmt.line_sep!r}")
+        files = text_files(spark, paths)
+        return aligned_lines(spark, files, fmt.encoding, fmt.strict_encoding, not fmt.multi_line)
+    reader = _separated(spark.read, fmt)
+    if fmt.multi_line and fmt.line_sep in ("\n", "\r\n"):
+        reader = reader.option("lineSep", "\n")  # a carriage return inside quotes stays
+    lines = reader.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        # counts up by one within a split, as it is taken right on the scan
+        F.monotonically_increasing_id().alias("pos"),
+        "value",
+    )
+    return _decoded(lines, fmt)
+
+
+def _first_record(lines: DataFrame, fmt: SparseFormat) -> list[str] | None:
+    """The cells of the first record of a file, None without any line."""
+    taken = 1
+    while True:
+        found = [r["value"] for r in lines.limit(taken).collect()]
+        if not found:
+            return None
+        inside = False
+        for n, line in enumerate(found, 1):
+            inside = fmt.multi_line and ends_inside(line, fmt.delimiter, fmt.quote, inside)
+            if not inside:
+                break
+        if not inside or len(found) < taken:
+            text = [line + "\n" for line in found[: n - 1]] + [found[n - 1].removesuffix("\r") if fmt.multi_line else found[n - 1]]
+            return next(csv.reader(text, delimiter=fmt.delimiter, quotechar=fmt.quote), [""]) or [""]
+        taken *= 16
+
+
 def _column_names(
     spark: SparkSession, path, fmt: SparseFormat, columns: Sequence[str] | None
 ) -> tuple[list[str], list[str] | None]:
     """Column names, and the first record of the first file which has one."""
     first = None
     paths = [path] if isinstance(path, str) else list(path)
-    for file in sorted(spark.read.text(paths).inputFiles()):
-        if _plain(fmt):
-            text = _separated(spark.read, fmt).text(file).limit(1)
-            lines = [r["value"] for r in _decoded(text, fmt).collect()]
-        else:
-            reader = _separated(spark.read, fmt).option("multiLine", fmt.multi_line).option("encoding", fmt.charset)
-            row = reader.options(**_text_options(fmt)).csv(file).take(1)
-            if row:
-                first = ["" if v is None else v for v in row[0]]
-                break
-            continue
-        if lines:
-            first = next(csv.reader(lines, delimiter=fmt.delimiter, quotechar=fmt.quote), [""])
+    for file, _ in text_files(spark, paths):  # files without a byte are not among them
+        first = _first_record(_lines(spark, [file], fmt).select("value"), fmt)
+        if first is not None:
             break
     if first is None:
         return list(columns or ()), None
@@ -280,6 +315,20 @@ def _column_names(
     return names, first
 
 
+@contextmanager
+def _naming_bad_bytes(spark: SparkSession, path, fmt: SparseFormat) -> Iterator[None]:
+    """Where decoding has failed, look for the file and the byte, and raise an error that names them."""
+    try:
+        yield
+    except Exception as error:
+        if fmt.strict_encoding and re.search("not UTF-8|Decode|decode|BadByte", str(error)):
+            files = text_files(spark, [path] if isinstance(path, str) else list(path))
+            bad = first_bad_byte(spark, files, fmt.encoding)
+            if bad is not None:
+                raise BadByte(*bad, fmt.encoding) from error
+        raise
+
+
 def _parse(
     spark: SparkSession, path, fmt: SparseFormat, cells: list[str], header: list[str]
 ) -> DataFrame:
@@ -291,28 +340,20 @@ def _parse(
     mode = fmt.mode()
     kept = [F.when(~inherits(F.col(c), mode), F.col(c)).alias(c) for c in cells]
     kept.append(like_header.alias("__like_header"))
-    paths = [path] if isinstance(path, str) else list(path)
     schema = ", ".join(f"{c} string" for c in cells)
-    place = [
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        # counts up by one within a split, as it is taken right on the scan
-        F.monotonically_increasing_id().alias("__pos"),
-    ]
-    if _plain(fmt):
-        # spark.read.csv would drop blank lines, which repeat the row above
-        lines = _decoded(_separated(spark.read, fmt).text(paths).select(*place, "value"), fmt)
-        if fmt.strict_encoding and fmt.charset == "utf-8":
-            bad = F.concat(F.col("__file"), F.lit(": bytes that are not UTF-8"))
-            lines = lines.withColumn(
-                "value", F.when(~F.is_valid_utf8("value"), F.raise_error(bad)).otherwise(F.col("value"))
-            )
-        parsed_ = lines.withColumn("r", F.from_csv("value", schema, _text_options(fmt)))
-        return parsed_.select("__file", "__block", "__pos", "r.*").select("__file", "__block", "__pos", *kept)
-    reader = _separated(spark.read, fmt).schema(schema).options(**_text_options(fmt))
-    reader = reader.option("multiLine", fmt.multi_line).option("encoding", fmt.charset)
-    reader = reader.option("enforceSchema", True)
-    return reader.csv(paths).select(*place, *cells).select("__file", "__block", "__pos", *kept)
+    # spark.read.csv would drop blank lines, which repeat the row above
+    lines = _lines(spark, [path] if isinstance(path, str) else list(path), fmt)
+    if fmt.strict_encoding and fmt.charset == "utf-8":
+        bad = F.concat(F.col("file"), F.lit(": bytes that are not UTF-8"))
+        lines = lines.withColumn(
+            "value", F.when(~F.is_valid_utf8("value"), F.raise_error(bad)).otherwise(F.col("value"))
+        )
+    if fmt.multi_line:
+        lines = joined_records(lines, fmt.delimiter, fmt.quote, "\n" if fmt.line_sep == "\r\n" else fmt.line_sep)
+    options = _text_options(fmt)
+    parsed_ = lines.withColumn("r", F.from_csv("value", schema, options))
+    place = [F.col(c).alias(f"__{c}") for c in ("file", "block", "pos")]
+    return parsed_.select(*place, "r.*").select("__file", "__block", "__pos", *kept)
 
 
 def _numbered(staged: DataFrame, fmt: SparseFormat, cells: list[str]) -> OrderedRows:

@@ -1,0 +1,151 @@
+"""Quoted line breaks and encodings whose line breaks aren't ASCII, read in many splits."""
+
+import csv
+import io
+import random
+
+import pytest
+from rowtide.sources.quoted_records import ends_inside
+from rowtide.sources.sparse_csv import read_sparse_csv, write_sparse_csv
+from rowtide.sources.text_splits import SplitReader, line_break
+
+
+def read(spark, path, **options):
+    df = read_sparse_csv(spark, str(path), infer=False, **options)
+    return [tuple(r)[1:] for r in sorted(df.collect())]
+
+
+def by_hand(text, delimiter=","):
+    """Rows of Python's own reader, expanded; blank lines repeat the row above."""
+    rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter))
+    above, out = [None] * len(rows[0]), []
+    for row in rows[1:]:
+        row = (row + [""] * len(above))[: len(above)]
+        above = [a if not c.strip() else c for c, a in zip(row, above)]
+        out.append(tuple(above))
+    return out
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def to(n):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+
+    yield to
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def quoted_text(rnd, rows, breaks):
+    cell = lambda: "".join(rnd.choice(["a", "é", ",", '"', breaks, breaks * 2, " ", "漢", "x" * 30]) for _ in range(rnd.randint(0, 6)))
+    lines = ["first,second,third"]
+    for _ in range(rows):
+        kind = rnd.random()
+        if kind < 0.1:
+            lines.append("")
+        elif kind < 0.2:
+            lines.append(',b"c,')  # a quote within a cell opens nothing
+        else:
+            lines.append(",".join('"' + cell().replace('"', '""') + '"' if rnd.random() < 0.5 else rnd.choice(["", "p", " "]) for _ in range(3)))
+    return breaks.join(lines) + rnd.choice(["", breaks])
+
+
+def test_end_states():
+    for line, outside, inside in [
+        ("a,b", False, True), ('"a', True, False), ('a,"b', True, False), ('"a""b"', False, False), ("", False, True),
+        ('x"y', False, False), ('"', True, False), ('""', False, True), (',"a,', True, False), ('a","', True, True),
+    ]:
+        assert ends_inside(line, ",", '"', False) == outside, line
+        assert ends_inside(line, ",", '"', True) == inside, line
+
+
+@pytest.mark.parametrize(("split", "breaks"), [(60, "\n"), (700, "\n"), (97, "\r\n"), (1 << 27, "\n")])
+def test_quoted_breaks_in_splits(spark, tmp_path, small_splits, split, breaks):
+    small_splits(split)
+    rnd = random.Random(split)
+    for n in (40, 7):
+        text = quoted_text(rnd, n, breaks)
+        path = tmp_path / f"{n}.csv"
+        path.write_bytes(text.encode())
+        assert read(spark, path, multi_line=True) == by_hand(text)
+
+
+def test_blank_lines_stay(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('p,q\n1,x\n\n2,"y\n\nz"\n\n')
+    assert read(spark, tmp_path / "a.csv", multi_line=True) == [("1", "x"), ("1", "x"), ("2", "y\n\nz"), ("2", "y\n\nz")]
+
+
+def test_quoted_header_and_open_quote(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"p\nq",r\n1,"open\n\nto the end\n')
+    df = read_sparse_csv(spark, str(tmp_path / "a.csv"), multi_line=True)
+    assert df.columns[1:] == ["p\nq", "r"]
+    assert [tuple(r)[1:] for r in df.collect()] == [(1, "open\n\nto the end")]
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    row = 'a,"' + "b\n" * 40 + '",c\n\n'
+    path = tmp_path / "big.csv"
+    path.write_text("x,y,z\n" + row * 40_000)  # 3.6 MB
+    small_splits(1 << 18)
+    df = read_sparse_csv(spark, str(path), multi_line=True, infer=False)
+    assert df.where("x = 'a' and z = 'c' and length(y) = 80").count() == 80_000
+    assert df.agg({"row_index": "max"}).first()[0] == 79_999
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-32-be", "utf-8-sig", "cp037"])
+@pytest.mark.parametrize("split", [64, 1 << 27])
+def test_encodings_equal_utf8(spark, tmp_path, small_splits, encoding, split):
+    small_splits(split)
+    letters = "aé" if encoding == "cp037" else "aéਊ਀😀漢Ċ"  # with 0A in either byte
+    text = "p,q\n" + "".join(f"{letters[i % len(letters)]}{i},{'' if i % 3 else letters}\n" + "\n" * (i % 4 == 0) for i in range(60))
+    (tmp_path / "a.csv").write_bytes(text.encode(encoding))
+    small_splits(split)
+    assert read(spark, tmp_path / "a.csv", encoding=encoding) == by_hand(text)
+
+
+def test_byte_order_marks(spark, tmp_path):
+    text = "p,q\nä,1\n,2\n"
+    for n, raw in enumerate([b"\xff\xfe" + text.encode("utf-16-le"), b"\xfe\xff" + text.encode("utf-16-be"), text.encode("utf-16-le")]):
+        (tmp_path / f"{n}.csv").write_bytes(raw)
+        assert read(spark, tmp_path / f"{n}.csv", encoding="utf-16") == [("ä", "1"), ("ä", "2")]
+
+
+def test_quoted_breaks_in_utf16(spark, tmp_path, small_splits):
+    small_splits(128)
+    text = quoted_text(random.Random(3), 40, "\n")
+    (tmp_path / "a.csv").write_bytes(text.encode("utf-16"))
+    assert read(spark, tmp_path / "a.csv", encoding="utf-16", multi_line=True) == by_hand(text)
+
+
+@pytest.mark.parametrize(
+    ("encoding", "bad", "at"),
+    [("utf-8", b"p,q\n1,\xff\n", 6), ("utf-16", "p\nä".encode("utf-16") + b"\x00\xd8\n\x00", 8), ("ascii", b"p\n1\n\xe4\n", 4), ("gbk", b"p\n\x81", 2)],
+)
+def test_errors_name_the_byte(spark, tmp_path, encoding, bad, at):
+    (tmp_path / "a.csv").write_bytes(b"" if encoding == "utf-16" else b"")
+    (tmp_path / "b.csv").write_bytes(bad)
+    with pytest.raises(ValueError, match=rf"b\.csv: byte {at} is not {encoding}"):
+        read(spark, tmp_path, encoding=encoding)
+    assert read(spark, tmp_path / "b.csv", encoding=encoding, strict_encoding=False)
+
+
+def test_every_range_has_its_lines():
+    text = "".join(f"{'ਊ' * (i % 5)}{i}\n" for i in range(50)) + "end"
+    for encoding in ("utf-16", "utf-32-le", "utf-8"):
+        raw = text.encode(encoding)
+        for step in (4, 12, 100, 1 << 20):
+            found = []
+            for a in range(0, len(raw), step):
+                reader = SplitReader(io.BytesIO(raw), "x", encoding, True, True)
+                found += [x for some in reader.lines(a, min(a + step, len(raw))) for x in some]
+            assert found == text.split("\n")
+    assert line_break("utf-16") == b"\n\0" and line_break("utf-8-sig") == b"\n" and line_break("cp037") != b"\n"
+
+
+def test_round_trip_in_utf16(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f"ü{i // 3}\nline" if i % 2 else "漢") for i in range(200)], "i long, t string")
+    out = str(tmp_path / "o")
+    assert write_sparse_csv(df, out, "i", encoding="utf-16", multi_line=True) == 200
+    again = read_sparse_csv(spark, out, encoding="utf-16", multi_line=True)
+    assert sorted(tuple(r)[1:] for r in again.collect()) == sorted(map(tuple, df.collect()))
