@@ -5,7 +5,9 @@ that spans the largest triangle with the point kept before and the mean of the n
 bucket. Each choice needs the one before, a chain over the buckets. Two facts keep
 the chain small: the means are plain sums, and the area is the absolute value of a
 linear function of the candidate, so only points on the bucket's convex hull can win.
-Hulls are pruned in every task on its own rows; the chain runs over what is left.
+Hulls are pruned in every task on its own rows. What is left is sorted by series and
+bucket, the sums of the next bucket before a bucket's points, and walked as a stream: a task
+holds one point and one candidate of the series it is at, however long that is.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from rowtide.functions.typing import parsed
 from rowtide.plans.order import order_rows, with_row_index
 from rowtide.plans.staging import stage
 
-CHAIN_ROWS = 1_000_000  # candidates one task takes at a time
 _PRUNE_ROWS = 50_000
 _EMIT_ROWS = 500_000
 
@@ -35,7 +36,6 @@ def lttb(
     key: Sequence[str] | str,
     partition_by: Sequence[str] | str = (),
     blocks: int | None = None,
-    chain_rows: int = CHAIN_ROWS,
 ) -> DataFrame:
     """``sample_size`` rows per series which keep its shape, peaks and ends included.
 
@@ -64,7 +64,7 @@ def lttb(
     elif sample_size < 3:
         chosen = indexed.where(F.col("i") < sample_size)
     else:
-        chosen = _chained(indexed.where(F.col("n") > sample_size), s_cols, k_cols, sample_size, chain_rows)
+        chosen = _chained(indexed.where(F.col("n") > sample_size), s_cols, k_cols, sample_size)
         if series:
             whole = indexed.where(F.col("n") <= sample_size)
             chosen = whole.select(*s_cols, *k_cols).unionByName(chosen)
@@ -90,7 +90,7 @@ def _number(df: DataFrame, name: str) -> Column:
 
 
 def _chained(
-    indexed: DataFrame, s_cols: list[str], k_cols: list[str], size: int, chain_rows: int
+    indexed: DataFrame, s_cols: list[str], k_cols: list[str], size: int
 ) -> DataFrame:
     inner, i, n = size - 2, F.col("i"), F.col("n")
     # bucket b holds the inner points floor((b-1)(n-2)/inner) .. floor(b(n-2)/inner) - 1,
@@ -99,9 +99,9 @@ def _chained(
     bucket = bucket.otherwise(F.floor(F.expr(f"(i * {inner} - 1) div (n - 2)") + 1)).cast("int")
     points = indexed.select(*s_cols, *k_cols, bucket.alias("b"), "i", "x", "y")
     groups = [*s_cols, "b"]
-    schema = T.StructType(
-        points.schema.fields + [T.StructField("points", T.LongType()), T.StructField("sx", T.DoubleType()), T.StructField("sy", T.DoubleType())]
-    )
+    schema = T.StructType(list(points.schema.fields))
+    for name, type_ in (("kind", T.IntegerType()), ("points", T.LongType()), ("sx", T.DoubleType()), ("sy", T.DoubleType())):
+        schema = schema.add(name, type_)
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -114,13 +114,24 @@ def _chained(
                 held, rows = [pruned], len(pruned)
                 limit = max(_PRUNE_ROWS, 2 * rows)
                 if rows >= _EMIT_ROWS:
-                    yield pruned
+                    yield _for_walk(pruned)
                     held, rows, limit = [], 0, _PRUNE_ROWS
         if held:
-            yield _pruned(pd.concat(held, ignore_index=True), groups)
+            yield _for_walk(_pruned(pd.concat(held, ignore_index=True), groups))
 
     candidates = stage(points.mapInPandas(prune, schema), "lttb")
-    return _chain_all(candidates, s_cols, k_cols, chain_rows)
+    names = s_cols + k_cols
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = candidates.repartition(parts, *s_cols) if s_cols else candidates.repartition(1)
+    ordered = dealt.sortWithinPartitions(*s_cols, "b", "kind", "i")
+    kept = T.StructType([f for f in candidates.schema.fields if f.name in names])
+    return ordered.mapInPandas(lambda batches: walk(batches, names), kept)
+
+
+def _for_walk(pruned: pd.DataFrame) -> pd.DataFrame:
+    """Candidates as kind 1, and the sums of each bucket as kind 0 of the bucket before."""
+    sums = pruned[(pruned["points"] > 0) & (pruned["b"] > 0)]
+    return pd.concat([sums.assign(b=sums["b"] - 1, i=-1, kind=0), pruned.assign(kind=1)], ignore_index=True)
 
 
 def _with_sums(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,103 +199,44 @@ def _extremes(code: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.union1d(*found)
 
 
-def _chain(
-    pdf: pd.DataFrame, start: tuple[float, float] | None, after: tuple[float, float] | None
-) -> pd.DataFrame:
-    """Walk the buckets of one series in order and keep one point of each.
+def walk(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """One point of each bucket, from series that are sorted by bucket, kind and place.
 
-    ``start`` is the point kept before the first bucket given, ``after`` the mean of
-    the bucket behind the last one; None at the ends of the series.
+    A series begins with bucket 0. A bucket's rows may be spread over batches: only the
+    point kept last, the next bucket's sums and the best point so far are held.
     """
-    pdf = pdf.sort_values(["b", "i"], kind="stable")
-    b, x, y = (pdf[c].to_numpy() for c in ("b", "x", "y"))
-    begin = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-    end = np.r_[begin[1:], len(b)]
-    count = np.add.reduceat(pdf["points"].to_numpy(), begin)
-    means = [np.add.reduceat(pdf[c].to_numpy(), begin) / count for c in ("sx", "sy")]
-    following = list(zip(means[0][1:], means[1][1:])) + [after]
-    kept, at = [], start
-    for lo, hi, mean in zip(begin, end, following):
-        if at is None or mean is None:
-            pick = lo  # the first and the last bucket have one point
-        else:
-            pick = lo + int(np.argmax(_areas(at, x[lo:hi], y[lo:hi], mean)))
-        kept.append(pick)
-        at = (x[pick], y[pick])
-    return pdf.iloc[kept]
-
-
-def _walk(start: tuple[float, float] | None, after: tuple[float, float] | None, columns: list[str]):
-    """:func:`_chain` as a function of the points alone."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _chain(pdf, start, after)[columns]
-
-    return walk
+    bucket, at, best, largest, sums = -1, None, None, -1.0, np.zeros(3)
+    for rows in batches:
+        b, kind, x, y = (rows[c].to_numpy() for c in ("b", "kind", "x", "y"))
+        weights = rows[["points", "sx", "sy"]].to_numpy(dtype=np.float64)
+        cells = [rows[c].array for c in names]
+        edges = np.flatnonzero((b[1:] != b[:-1]) | (kind[1:] != kind[:-1])) + 1
+        kept: list[tuple] = []
+        for lo, hi in zip([0, *edges], [*edges, len(b)]):
+            if b[lo] != bucket:
+                if best is not None:
+                    kept.append(best[0])
+                    at = best[1]
+                if b[lo] == 0:
+                    at = None
+                bucket, best, largest, sums = b[lo], None, -1.0, np.zeros(3)
+            if kind[lo] == 0:
+                sums = sums + weights[lo:hi].sum(axis=0)
+                continue
+            if at is None or not sums[0]:
+                if best is None:  # the first and the last bucket have one point
+                    best = tuple(c[lo] for c in cells), (x[lo], y[lo])
+                continue
+            areas = _areas(at, x[lo:hi], y[lo:hi], sums[1:] / sums[0])
+            pick = int(np.argmax(areas))
+            if areas[pick] > largest:
+                largest = areas[pick]
+                best = tuple(c[lo + pick] for c in cells), (x[lo + pick], y[lo + pick])
+        yield pd.DataFrame(kept, columns=names).astype(rows[names].dtypes)
+    if best is not None:
+        yield pd.DataFrame([best[0]], columns=names).astype(rows[names].dtypes)
 
 
 def _areas(a, x, y, c):
     """Twice the areas of the triangles between ``a``, each point and ``c``."""
     return np.abs((a[0] - c[0]) * (y - a[1]) - (a[0] - x) * (c[1] - a[1]))
-
-
-def _chain_all(candidates: DataFrame, s_cols: list[str], k_cols: list[str], limit: int) -> DataFrame:
-    """One task per series; a series with too many candidates walks in several steps."""
-    per_series = candidates.groupBy(*s_cols).agg(F.count(F.lit(1)).alias("rows"))
-    large = per_series.where(F.col("rows") > limit).collect()  # at most all rows / limit
-    schema = T.StructType([f for f in candidates.schema.fields if f.name in s_cols + k_cols])
-    names = schema.fieldNames()
-
-    small = candidates
-    kept = []
-    for row in large:
-        mine = F.lit(True)
-        for c in s_cols:
-            mine = mine & F.col(c).eqNullSafe(F.lit(row[c]))
-        small = small.where(~mine)
-        kept += _chain_in_steps(candidates.where(mine), names, limit)
-    if s_cols:  # by number: few bytes per series, but work enough for all tasks
-        parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        small = small.repartition(parts, *s_cols)
-    chosen = small.groupBy(*s_cols).applyInPandas(_walk(None, None, names), schema)
-    if kept:
-        chosen = chosen.unionByName(candidates.sparkSession.createDataFrame(kept, schema))
-    return chosen
-
-
-def _chain_in_steps(mine: DataFrame, names: list[str], limit: int) -> list[tuple]:
-    """The chain of one large series: runs of buckets which fit one task, and single
-    buckets too large for that, whose best point is an aggregate. Only the points
-    kept, one per bucket, reach the driver."""
-    counts = mine.groupBy("b").agg(
-        F.count(F.lit(1)).alias("rows"),
-        (F.sum("sx") / F.sum("points")).alias("mx"),
-        (F.sum("sy") / F.sum("points")).alias("my"),
-    )
-    buckets = counts.orderBy("b").collect()  # one per point of the sample
-    kept, at, n = [], None, 0
-    while n < len(buckets):
-        end, rows = n, 0
-        while end < len(buckets) and rows + buckets[end]["rows"] <= limit:
-            rows += buckets[end]["rows"]
-            end += 1
-        first = buckets[n]["b"]
-        if end == n:  # too large for one task
-            after = buckets[n + 1]
-            area = F.abs(
-                (F.lit(at[0]) - after["mx"]) * (F.col("y") - at[1])
-                - (F.lit(at[0]) - F.col("x")) * (after["my"] - F.lit(at[1]))
-            )
-            best = F.max_by(F.struct(*names, "x", "y"), F.struct(area, -F.col("i")))
-            found = [mine.where(F.col("b") == first).agg(best.alias("p")).first()["p"]]
-            end = n + 1
-        else:
-            part = mine.where(F.col("b").between(first, buckets[end - 1]["b"]))
-            after = (buckets[end]["mx"], buckets[end]["my"]) if end < len(buckets) else None
-            schema = mine.select(*names, "x", "y", "i").schema
-            walk = _walk(at, after, schema.names)
-            found = part.groupBy().applyInPandas(walk, schema).orderBy("i").collect()
-        kept += [tuple(p[c] for c in names) for p in found]
-        at = (found[-1]["x"], found[-1]["y"])
-        n = end
-    return kept

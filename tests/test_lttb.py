@@ -59,11 +59,34 @@ def test_equals_direct(spark, kind):
     assert run(spark, points, 40, blocks=5) == direct(points, 40)
 
 
-@pytest.mark.parametrize("chain_rows", [40, 300])
-def test_long_chains_walk_in_steps(spark, chain_rows):
-    """Every point of a convex curve is on the hull; buckets of 75 exceed the limit of 40."""
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+
+    def to(n):
+        spark.conf.set(name, str(n))
+
+    yield to
+    spark.conf.set(name, old)
+
+
+@pytest.mark.parametrize("rows", [1, 40, 300])
+def test_long_chains_walk_as_a_stream(spark, small_batches, rows):
+    """Every point of a convex curve is on the hull; buckets of 75 go over many batches."""
     points = series("curve", 1500)
-    assert run(spark, points, 22, chain_rows=chain_rows) == direct(points, 22)
+    small_batches(rows)
+    assert run(spark, points, 22) == direct(points, 22)
+
+
+def test_the_plan_does_not_grow_with_the_series(spark, capsys):
+    rows = [(s, i, float(i), math.sin(i * (s + 1))) for s in range(30) for i in range(40)]
+    df = spark.createDataFrame(rows, "s long, id long, x double, y double")
+    plans = []
+    for few in (df.where("s < 2"), df):
+        lttb(few, 5, "x", "y", "id", "s").explain()
+        plans.append(len(capsys.readouterr().out.splitlines()))
+    assert plans[0] == plans[1]
 
 
 def test_small_requests(spark):
@@ -90,7 +113,7 @@ def test_series_by_key_and_rows_that_are_no_points(spark):
         rows += [(name, 1000 * s + 990, "x", 1.0), (name, 1000 * s + 991, "5", None), (name, 1000 * s + 992, "6", math.nan)]
         want += [1000 * s + i for i in direct(points, 12)]
     df = spark.createDataFrame(rows, "s string, id bigint, x string, y double").repartition(6)
-    for options in ({}, {"blocks": 7}, {"chain_rows": 60}):
+    for options in ({}, {"blocks": 7}):
         got = lttb(df, 12, "x", "y", "id", "s", **options)
         assert sorted(r["id"] for r in got.collect()) == sorted(want)
 
