@@ -198,6 +198,12 @@ def rowid_range_lineitem(spark, sf_dir):
     return row_query(_table(spark, sf_dir, "lineitem"), rowid_range=(20_001, 20_400))
 
 
+def row_numbers_many_lineitem(spark, sf_dir):
+    """As many positions as there are orders, from a table."""
+    orders = _table(spark, sf_dir, "orders")
+    return row_query(_table(spark, sf_dir, "lineitem"), row_numbers=orders.select(F.col("o_orderkey") * 4))
+
+
 def row_numbers_stored_orders(spark, sf_dir):
     """By position in the stored file: a plain filter, no shuffle."""
     orders = read_stored_order(spark, f"{sf_dir}/orders.parquet")
@@ -225,7 +231,7 @@ def chunks_conversations(spark, sf_dir):
 
 
 def preview_orders(spark, sf_dir):
-    return preview(_table(spark, sf_dir, "orders"), 10).agg(F.count(F.lit(1)).alias("rows"))
+    return preview(_table(spark, sf_dir, "orders"), 10)
 
 
 # --- sampling ----------------------------------------------------------------------
@@ -243,6 +249,10 @@ def reservoir_orders(spark, sf_dir):
     return reservoir(_table(spark, sf_dir, "orders"), 50, "o_orderkey", SEED)
 
 
+def reservoir_orders_large(spark, sf_dir):
+    return reservoir(_table(spark, sf_dir, "orders"), 5000, "o_orderkey", SEED)
+
+
 def reservoir_documents(spark, sf_dir):
     return reservoir(_table(spark, sf_dir, "documents"), 100, "doc_id", SEED)
 
@@ -364,6 +374,47 @@ def csv_round_trip_documents(spark, sf_dir):
     return read_sparse_csv(spark, path, type_hints={"text": str, "lang": str, "source": str}, **fmt)
 
 
+def csv_utf16_documents(spark, sf_dir):
+    """Whole texts with quoted line breaks in UTF-16."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    path = scratch_path(spark, "documents-utf16")
+    fmt = dict(multi_line=True, encoding="utf-16", inherit="marker", marker="^", null_values=("<null>",), null_token="<null>")
+    write_sparse_csv(documents, path, "doc_id", **fmt)
+    return read_sparse_csv(spark, path, type_hints={"text": str, "lang": str}, **fmt)
+
+
+def csv_ragged_and_blank_orders(spark, sf_dir):
+    """Four lines for each order, without a header: whole, short, blank, and too long."""
+    orders = _table(spark, sf_dir, "orders")
+    key, customer, status = (F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus"))
+    whole, long_ = F.concat_ws(",", key, customer, status), F.concat_ws(",", key, F.lit(""), F.lit("x"), F.lit("more"), F.lit("and more"))
+    lines = F.concat_ws("\n", whole, F.concat(F.lit("-"), key), F.lit(""), long_)
+    path = scratch_path(spark, "orders-ragged")
+    orders.select(lines).write.text(path)
+    hints = {"key": int, "customer": int, "status": str}
+    return read_sparse_csv(spark, path, columns=list(hints), type_hints=hints, has_header=False, row_index=None)
+
+
+def csv_skipped_rows_orders(spark, sf_dir):
+    """Files with a row to be skipped, under names of one's own."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    path = scratch_path(spark, "orders-skipped")
+    orders.write.option("header", True).csv(path)
+    names = ["key", "customer", "priority"]
+    return read_sparse_csv(spark, path, columns=names, has_header=False, skip_rows=1, row_index=None)
+
+
+def csv_empty_orders(spark, sf_dir):
+    """No rows: a header is written and read back."""
+    none = _table(spark, sf_dir, "orders").where("o_orderkey < 0")
+    path = scratch_path(spark, "orders-empty")
+    written = write_sparse_csv(none, path, "o_orderkey")
+    back = read_sparse_csv(spark, path)
+    return back.agg(
+        F.lit(written).alias("written"), F.count(F.lit(1)).alias("rows"), F.lit(len(back.columns) - 1).alias("columns")
+    )
+
+
 def csv_rows_written(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
     path = scratch_path(spark, "orders-csv")
@@ -662,6 +713,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE regexp_full_match(size_text, '[0-9]+') AND try_cast(size_text AS BIGINT) >= 20""",
         "range_sorted_copy_lineitem": "SELECT * FROM lineitem WHERE l_partkey BETWEEN 100 AND 300",
         "row_numbers_orders": _numbered("orders", "o_orderkey", "row_index IN (0, 2, 4, 777, 14999)"),
+        "row_numbers_many_lineitem": _numbered("lineitem", all_items, "row_index IN (SELECT o_orderkey * 4 FROM orders)"),
         "row_numbers_stored_orders": _numbered("orders", "o_orderkey", "row_index IN (0, 2, 4, 777, 14999)"),
         "systematic_stored_orders": _numbered(
             "orders", "o_orderkey", f"row_index % 100 = {systematic_start(100, SEED)}", "* EXCLUDE (row_index)"
@@ -675,13 +727,14 @@ def oracle_sql() -> dict[str, str]:
                    CAST(sum(length(text)) AS BIGINT) AS characters
             FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index, text FROM conversations)
             GROUP BY 1""",
-        "preview_orders": "SELECT count(*) AS rows FROM (SELECT * FROM orders LIMIT 10)",
+        "preview_orders": "SELECT * FROM orders LIMIT 10",
         "bernoulli_orders": f"""
             SELECT * FROM orders WHERE substr({_hash('o_orderkey')}, 1, 8) < '{_threshold(0.1)}'""",
         "bernoulli_conversations": f"""
             SELECT * FROM conversations
             WHERE substr({_hash('conv_id', 'turn')}, 1, 8) < '{_threshold(0.25)}'""",
         "reservoir_orders": f"SELECT * FROM orders ORDER BY {_hash('o_orderkey')}, o_orderkey LIMIT 50",
+        "reservoir_orders_large": f"SELECT * FROM orders ORDER BY {_hash('o_orderkey')}, o_orderkey LIMIT 5000",
         "reservoir_documents": f"SELECT * FROM documents ORDER BY {_hash('doc_id')}, doc_id LIMIT 100",
         "systematic_orders": _numbered(
             "orders", "o_orderkey", f"row_index % 100 = {systematic_start(100, SEED)}", "* EXCLUDE (row_index)"
@@ -744,6 +797,18 @@ def oracle_sql() -> dict[str, str]:
         "csv_round_trip_documents": """
             SELECT row_number() OVER (ORDER BY lang, doc_id) - 1 AS row_index, doc_id, text, lang,
                    CASE WHEN lang <> 'en' THEN source END AS source, n_chars FROM documents""",
+        "csv_utf16_documents": """
+            SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, doc_id, lang, text FROM documents""",
+        "csv_ragged_and_blank_orders": """
+            SELECT o_orderkey AS key, o_custkey AS customer, o_orderstatus AS status FROM orders
+            UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus FROM orders
+            UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus FROM orders
+            UNION ALL SELECT o_orderkey, o_custkey, 'x' FROM orders""",
+        "csv_skipped_rows_orders": """
+            SELECT o_orderkey AS key, o_custkey AS customer, o_orderpriority AS priority FROM orders""",
+        "csv_empty_orders": """
+            SELECT count(*) AS written, count(*) AS rows,
+                   (SELECT count(*) FROM (DESCRIBE orders)) AS columns FROM orders WHERE o_orderkey < 0""",
         "csv_rows_written": """
             SELECT o_orderstatus, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, 0 AS missing,
                    (SELECT count(*) FROM orders) AS written FROM orders GROUP BY o_orderstatus""",
@@ -780,12 +845,13 @@ def core_queries() -> list[Callable[[SparkSession, str], DataFrame]]:
         expand_events_aggregate, sparsify_lineitem, sparsity_stats_events, sparsity_stats_lineitem,
         compare_orders_lineitem, range_orders_key, range_orders_price, range_events_value_below,
         range_parts_text, range_sorted_copy_lineitem, row_numbers_orders, rowid_range_orders, rowid_set_documents, rowid_range_lineitem,
-        row_numbers_stored_orders, systematic_stored_orders,
+        row_numbers_many_lineitem, row_numbers_stored_orders, systematic_stored_orders,
         row_index_events_by_time, chunks_conversations, preview_orders, bernoulli_orders,
-        bernoulli_conversations, reservoir_orders, reservoir_documents, systematic_orders,
+        bernoulli_conversations, reservoir_orders, reservoir_orders_large, reservoir_documents, systematic_orders,
         systematic_lineitem, cluster_customers, cluster_lineitem, cluster_orders_with_null_key, lttb_events,
         lttb_events_by_user, lttb_orders, check_lineitem, presence_events, infer_types_events, typed_events,
         normalized_names_part, csv_round_trip_events, csv_round_trip_lineitem, csv_round_trip_documents,
+        csv_utf16_documents, csv_ragged_and_blank_orders, csv_skipped_rows_orders, csv_empty_orders,
         csv_rows_written, recording_frames, recording_signals_by_file, recording_audit,
         recording_frame_counts, recording_import_check, stream_expand_by_user, stream_bernoulli,
         stream_sparse_sink, stream_recording_import,

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Collection, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,8 +15,6 @@ from rowtide.functions.typing import parsed
 from rowtide.plans.order import BLOCK, offsets, order_rows, with_row_index
 from rowtide.plans.staging import stage
 
-_MAX_LITERALS = 1_000  # longer position lists become a table
-
 
 def range_query(
     df: DataFrame, field: str, min_value: int | None = None, max_value: int | None = None
@@ -94,9 +94,9 @@ def add_row_index(
 def row_query(
     df: DataFrame,
     order_by: Sequence[str] | str | None = None,
-    row_numbers: Collection[int] | None = None,
+    row_numbers: Collection[int] | DataFrame | None = None,
     rowid_range: tuple[int, int] | None = None,
-    rowid_set: Collection[int] | None = None,
+    rowid_set: Collection[int] | DataFrame | None = None,
     row_index: str | None = None,
     unique: bool = True,
     blocks: int | None = None,
@@ -104,49 +104,40 @@ def row_query(
     """Rows at given positions, with ``row_index`` (0-based) as the first column.
 
     ``row_numbers`` are 0-based, ``rowid_range`` (inclusive) and ``rowid_set`` 1-based;
-    the first one given counts. A table which already has its position passes that
-    column as ``row_index``, and the query is a filter. Otherwise only those blocks
-    of the order which hold a wanted position are shuffled and sorted, and a scan
-    reads only the range of keys they span.
+    the first one given counts. Positions may also be a table of one column, of any size.
+    A table which already has its position passes that column as ``row_index``, and the
+    query is a filter. Otherwise only those blocks of the order which hold a wanted
+    position are shuffled and sorted, and a scan reads only the range of keys they span.
     """
     spark = df.sparkSession
-    wanted: list[int] | None = None
+    wanted = None
     if row_numbers is not None:
-        wanted = sorted(set(row_numbers))
+        wanted = _positions(spark, row_numbers, 0)
     elif rowid_range is not None:
         first, last = rowid_range[0] - 1, rowid_range[1] - 1
     elif rowid_set is not None:
-        wanted = sorted({i - 1 for i in rowid_set})
+        wanted = _positions(spark, rowid_set, 1)
     else:
         raise ValueError("give one of row_numbers, rowid_range, rowid_set")
+    if wanted is not None:
+        first, last = wanted.agg(F.min("__rt_wanted"), F.max("__rt_wanted")).first()
+        if first is None:
+            first, last = 0, -1  # none wanted
 
     name = row_index or "row_index"
-    positions = None
-    if wanted is not None and len(wanted) > _MAX_LITERALS:
-        positions = spark.createDataFrame([(i,) for i in wanted], "__rt_wanted bigint")
 
     def pick(indexed: DataFrame) -> DataFrame:
-        at = F.col(name)
-        if wanted is None:
-            return indexed.where(at.between(first, last))
-        if positions is None:
-            return indexed.where(at.isin(*wanted) if wanted else F.lit(False))
-        return indexed.join(positions, at == F.col("__rt_wanted"), "left_semi")
+        found = indexed.where(F.col(name).between(first, last))
+        return found if wanted is None else found.join(wanted, F.col(name) == F.col("__rt_wanted"), "left_semi")
 
     if row_index is not None:
         return pick(df).select(name, *[c for c in df.columns if c != name])
 
     rows = order_rows(df, order_by, (), unique, blocks)
     table = offsets(rows)
-    start, end = F.col("__rt_start"), F.col("__rt_start") + F.col("__rt_count")
-    if wanted is None:
-        table = table.where((start <= last) & (end > first))
-    elif positions is None:
-        hit = F.exists(
-            F.array(*[F.lit(i).cast("bigint") for i in wanted]).cast("array<bigint>"),
-            lambda i: (i >= start) & (i < end),
-        )
-        table = table.where(hit)
+    table = table.where((F.col("__rt_start") <= last) & (F.col("__rt_start") + F.col("__rt_count") > first))
+    if wanted is not None:
+        table = _holding(table, wanted, rows.total)
     # written out, the few blocks are known to be few: the others go before the shuffle
     table = stage(table, "blocks")
     if rows.borders:
@@ -156,6 +147,25 @@ def row_query(
     return pick(with_row_index(rows, name, table=table)).select(name, *df.columns)
 
 
+def _positions(spark: SparkSession, positions: Collection[int] | DataFrame, base: int) -> DataFrame:
+    """Different positions from 0 as ``__rt_wanted``, written out, so that their number is known."""
+    if not isinstance(positions, DataFrame):
+        positions = spark.createDataFrame(pd.DataFrame({"at": np.array(sorted(positions), dtype=np.int64)}), "at bigint")
+    found = positions.toDF("at").selectExpr(f"cast(at as bigint) - {base} as __rt_wanted").where("__rt_wanted >= 0")
+    return stage(found.distinct(), "positions")
+
+
+def _holding(table: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
+    """The blocks that hold a wanted position: ranges and positions meet by bins about as long as a block."""
+    width = max(1, total // max(1, table.count()))
+    end = F.col("__rt_start") + F.col("__rt_count") - 1
+    bins = F.expr(f"sequence(__rt_start div {width}, (__rt_start + __rt_count - 1) div {width})")
+    ranges = table.where("__rt_count > 0").withColumn("__rt_bin", F.explode(bins))
+    at = wanted.withColumn("__rt_of", F.expr(f"__rt_wanted div {width}"))
+    inside = (F.col("__rt_bin") == F.col("__rt_of")) & F.col("__rt_wanted").between(F.col("__rt_start"), end)
+    return ranges.join(at, inside, "left_semi").drop("__rt_bin").distinct()
+
+
 def preview(df: DataFrame, n: int) -> DataFrame:
     """Any first ``n`` rows."""
     return df.limit(n)

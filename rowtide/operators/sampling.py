@@ -10,13 +10,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.operators.lookup import add_row_index
 from rowtide.operators.lttb import lttb
 from rowtide.plans.staging import stage
 
+_DIGITS = 3  # hex digits of a hash by which rows are counted at a time
 _NULL_KEY = "\x00null"  # stands for NULL in hashed keys; md5 of NULL would be NULL
 
 
@@ -114,22 +115,39 @@ def sample(df: DataFrame, method: str, **options) -> DataFrame:
 
 
 def _smallest(df: DataFrame, hash_: Column, size: int, key: list[str]) -> DataFrame:
-    """The ``size`` rows with the smallest hash, ties by key.
+    """The ``size`` rows with the smallest hash; of rows with one hash, and so one key, any.
 
-    A sort with a limit alone sends ``size`` rows of every task to one task. So the
-    rows are first counted by the leading zero bits of their hash (at most 48 groups,
-    partially aggregated). The most zero bits that still leave ``size`` rows make a
-    filter which passes about twice ``size`` rows, however large the table.
+    Rows are counted by the leading zero bits of their hash (at most 49 numbers). The
+    most zero bits that still leave ``size`` rows pass about twice ``size`` rows, which are
+    written out. Of these the border is found by counts of hash prefixes, three digits
+    longer each time within the one group that the border cuts. No rows are sorted, and
+    none are gathered in one task.
     """
     level = F.lit(48) - F.length(F.bin(F.conv(F.substring(hash_, 1, 12), 16, 10).cast("bigint")))
-    levels = df.select(level.alias("__rt_level")).groupBy("__rt_level").agg(F.count(F.lit(1)).alias("__rt_n"))
-    above = Window.orderBy(F.desc("__rt_level"))
-    enough = (
-        levels.select("__rt_level", F.sum("__rt_n").over(above).alias("__rt_kept"))
-        .where(F.col("__rt_kept") >= size)
-        .agg(F.coalesce(F.max("__rt_level"), F.lit(0)))
-    )
-    return df.where(level >= enough.scalar()).orderBy(hash_, *key).limit(size)
+    levels = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    kept, enough = 0, None
+    for r in sorted(levels, reverse=True):
+        kept += r["n"]
+        if kept >= size:
+            enough = r["level"]
+            break
+    if enough is None:
+        return df
+    mark = "__rt_hash"
+    rows = stage(df.where(level >= enough).withColumn(mark, hash_), "smallest")
+    border, taken = "", 0
+    for digits in range(_DIGITS, 32 + _DIGITS, _DIGITS):
+        prefix = F.substring(mark, 1, digits)
+        counts = rows.where(F.startswith(mark, F.lit(border))).groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        for r in sorted(counts.collect()):  # at most 16 to the power of _DIGITS
+            border = r["prefix"]
+            if taken + r["n"] > size:
+                break
+            taken += r["n"]
+            if taken == size:
+                return rows.where(prefix <= border).drop(mark)
+    below = rows.where(F.col(mark) < border)
+    return below.union(rows.where(F.col(mark) == border).limit(size - taken)).drop(mark)
 
 
 def _names(key: Sequence[str] | str) -> list[str]:
