@@ -53,7 +53,7 @@ from rowtide.sources.recording_import import (  # noqa: E402
     read_imported,
     recording_files,
 )
-from rowtide.sources.recording_writer import write_recordings  # noqa: E402
+from rowtide.sources.recording_writer import write_bytes, write_recordings  # noqa: E402
 from rowtide.sources.recordings import (  # noqa: E402
     audit_recordings,
     frame_time,
@@ -486,6 +486,27 @@ def recording_import_check(spark, sf_dir):
     )
 
 
+def recording_quarantine_check(spark, sf_dir):
+    """Whole recordings beside cut-off ones, one for each day, whose user is text; only the whole ones count."""
+    path, root = _recorded(spark, sf_dir), scratch_path(spark, "lake")
+    whole = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def cut(batches):
+        for rows in batches:
+            for name, raw in zip(rows["path"], rows["content"]):
+                # the type of the signal "user" is the byte before its dimensions and name
+                at = raw.index(b"user") - 13
+                write_bytes(name.removesuffix(".bin") + "-cut.bin", raw[:at] + b"\x0c" + raw[at + 1 : -4])
+            yield rows[["path"]]
+
+    files = whole.mapInPandas(cut, "path string").count()
+    result = import_recordings(spark, path, root, "recorded_events", on_bad_file="quarantine")
+    frames = read_imported(spark, root, "recorded_events")
+    return column_check(frames, ["value_eur"], ["user"]).withColumns(
+        {"valid": F.lit(result.imported_files), "rejected": F.lit(result.rejected_files), "written": F.lit(files)}
+    )
+
+
 # --- streams -----------------------------------------------------------------------
 
 
@@ -827,6 +848,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS rows, count(value_eur) AS count_value_eur, count(props) AS count_props,
                    CAST(sum("user") AS BIGINT) AS sum_user, count(DISTINCT file) AS files, count(*) AS frames
             FROM ({_FRAMES})""",
+        "recording_quarantine_check": f"""
+            SELECT count(*) AS rows, count(value_eur) AS count_value_eur, CAST(sum("user") AS BIGINT) AS sum_user,
+                   CAST(count(DISTINCT file) AS INTEGER) AS valid, CAST(count(DISTINCT file) AS INTEGER) AS rejected,
+                   CAST(count(DISTINCT file) AS INTEGER) AS written
+            FROM ({_FRAMES})""",
         "stream_expand_by_user": _PURCHASES,
         "stream_bernoulli": f"""
             SELECT event_id, user_id, value FROM events
@@ -853,7 +879,7 @@ def core_queries() -> list[Callable[[SparkSession, str], DataFrame]]:
         normalized_names_part, csv_round_trip_events, csv_round_trip_lineitem, csv_round_trip_documents,
         csv_utf16_documents, csv_ragged_and_blank_orders, csv_skipped_rows_orders, csv_empty_orders,
         csv_rows_written, recording_frames, recording_signals_by_file, recording_audit,
-        recording_frame_counts, recording_import_check, stream_expand_by_user, stream_bernoulli,
+        recording_frame_counts, recording_import_check, recording_quarantine_check, stream_expand_by_user, stream_bernoulli,
         stream_sparse_sink, stream_recording_import,
     ]
 

@@ -1,12 +1,14 @@
 """Import of recordings into a table with signal and file catalogs.
 
-An import writes its data and signal rows first and its file rows last. It counts as
-done only from then on, so a job that dies half-way leaves nothing visible. Every
-import has its own folder; a replacing import hides the earlier ones of its table.
-
-    <root>/<table>/import_id=.../        frames
-    <root>/_signals/import_table=.../    one row per file and signal
-    <root>/_files/import_table=.../      one row per file, bad ones included
+An import audits the files and writes frames and catalog rows of exactly those that it
+found valid, into folders of its own. It counts once the table's next manifest names
+these folders, so a job that dies half-way leaves nothing visible, and a file that arrives
+meanwhile is in no table. A replacing import's manifest names nothing else.
+
+    <root>/<table>/import_id=.../<attempt>                      frames
+    <root>/_signals/import_table=.../import_id=.../<attempt>    one row per file and signal
+    <root>/_files/import_table=.../import_id=.../<attempt>      one row per file, bad ones included
+    <root>/_manifests/<table>/<number>.json                     the imports that count
 """
 
 from __future__ import annotations
@@ -15,16 +17,23 @@ import datetime
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from rowtide.functions.names import check_table_name
-from rowtide.plans.staging import stage
-from rowtide.sources.recordings import audit_recordings, frame_schema, read_recording_signals, read_recordings
+from rowtide.plans.staging import release, stage
+from rowtide.sources.manifests import add_manifest, folders, last_manifest
+from rowtide.sources.recordings import (
+    FILE_COLUMNS,
+    SIGNAL_COLUMNS,
+    audit_recordings,
+    audited_frames,
+    audited_signals,
+    frame_schema,
+)
 
-FILES, SIGNALS = "_files", "_signals"
+FILES, SIGNALS, MANIFESTS = "_files", "_signals", "_manifests"
+_IMPORT = "import_table string, import_id string"
 
 
 @dataclass(frozen=True)
@@ -48,7 +57,7 @@ def import_recordings(
 
     ``on_bad_file="fail"`` imports nothing if any file is bad; ``"quarantine"`` lists bad
     files in the file catalog and imports the others. ``mode="append"`` adds to what is
-    there; repeating an ``import_id`` overwrites that import and so adds nothing twice.
+    there; repeating an ``import_id`` takes that import's place and so adds nothing twice.
     """
     check_table_name(table)
     if on_bad_file not in ("fail", "quarantine"):
@@ -65,64 +74,53 @@ def import_recordings(
         some = audit.where("status != 'valid'").select("file_path", "error").take(3)
         raise ValueError(f"{counts['rejected']} bad recordings, among them {[tuple(r) for r in some]}")
 
-    import_id = import_id or uuid.uuid4().hex
+    import_id, attempt = import_id or uuid.uuid4().hex, uuid.uuid4().hex
+    place = f"import_table={table}/import_id={import_id}/{attempt}"
+    entry = {"import_id": import_id, "files": f"{FILES}/{place}", "signals": f"{SIGNALS}/{place}", "frames": None}
+    valid = audit.where("status = 'valid'")
+    signals = stage(audited_signals(valid), "recording-signals")
     if counts["valid"]:
-        read_recordings(spark, path, "skip").write.mode("overwrite").parquet(
-            f"{root}/{table}/import_id={import_id}"
-        )
-    signals = read_recording_signals(spark, path, "skip").join(
-        audit.where("status = 'valid'").select("file_path"), "file_path", "left_semi"
-    )
-    _add(signals, f"{root}/{SIGNALS}", table, import_id)
+        entry["frames"] = f"{table}/import_id={import_id}/{attempt}"
+        audited_frames(valid, frame_schema(signals)).write.parquet(f"{root}/{entry['frames']}")
+    signals.write.parquet(f"{root}/{entry['signals']}")
     now = datetime.datetime.now(datetime.timezone.utc)
-    files = audit.withColumns({"imported_at": F.lit(now), "replaces": F.lit(mode == "replace")})
-    _add(files, f"{root}/{FILES}", table, import_id)
+    audit.withColumn("imported_at", F.lit(now)).write.parquet(f"{root}/{entry['files']}")
+    release(audit, signals)
+
+    def with_entry(entries: list[dict]) -> list[dict]:
+        kept = [e for e in entries if e["import_id"] != import_id] if mode == "append" else []
+        return [*kept, entry]
+
+    add_manifest(spark, f"{root}/{MANIFESTS}/{table}", with_entry)
     return ImportResult(import_id, counts["valid"], counts["rejected"], counts["frames"])
 
 
 def recording_files(spark: SparkSession, root: str, table: str | None = None) -> DataFrame:
     """The file catalog: files of the imports which count, for one table or all."""
-    try:
-        files = _read(spark, f"{root}/{FILES}")
-    except AnalysisException as error:
-        raise ValueError(f"nothing imported below {root}") from error
-    if table is not None:
-        files = files.where(F.col("import_table") == check_table_name(table))
-    replaced = files.where("replaces").groupBy("import_table").agg(F.max("imported_at").alias("since"))
-    live = files.join(replaced, "import_table", "left")
-    return live.where("since is null or imported_at >= since").drop("since", "replaces")
+    return _catalog(spark, root, table, "files", FILES, f"{FILE_COLUMNS}, imported_at timestamp, {_IMPORT}")
 
 
 def recording_signals(spark: SparkSession, root: str, table: str | None = None) -> DataFrame:
     """The signal catalog of the imports which count."""
-    live = recording_files(spark, root, table).select("import_table", "import_id").distinct()
-    return _read(spark, f"{root}/{SIGNALS}").join(live, ["import_table", "import_id"], "left_semi")
+    return _catalog(spark, root, table, "signals", SIGNALS, f"{SIGNAL_COLUMNS}, {_IMPORT}")
 
 
 def read_imported(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Frames of an imported table."""
-    files = recording_files(spark, root, table).where("status = 'valid'")
-    ids = [r["import_id"] for r in files.select("import_id").distinct().collect()]
-    if not ids:
+    frames = [f"{root}/{e['frames']}" for e in _entries(spark, root, table) if e["frames"]]
+    if not frames:
         raise ValueError(f"no recordings in table {table!r}")
-    schema = frame_schema(recording_signals(spark, root, table))
-    return spark.read.schema(schema).parquet(*[f"{root}/{table}/import_id={i}" for i in sorted(ids)])
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    """A catalog; ids that look like numbers or dates stay the text they are."""
-    schema = spark.read.parquet(path).schema
-    for field in schema.fields:
-        if field.name in ("import_table", "import_id"):
-            field.dataType = StringType()
-    return spark.read.schema(schema).parquet(path)
-
-
-def _add(df: DataFrame, path: str, table: str, import_id: str) -> None:
-    (
-        df.withColumns({"import_table": F.lit(table), "import_id": F.lit(import_id)})
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("import_table", "import_id")
-        .parquet(path)
-    )
+    return spark.read.schema(frame_schema(recording_signals(spark, root, table))).parquet(*frames)
+
+
+def _entries(spark: SparkSession, root: str, table: str | None) -> list[dict]:
+    tables = folders(spark, f"{root}/{MANIFESTS}") if table is None else [check_table_name(table)]
+    return [e for t in tables for e in last_manifest(spark, f"{root}/{MANIFESTS}/{t}")[1]]
+
+
+def _catalog(spark: SparkSession, root: str, table: str | None, name: str, folder: str, schema: str) -> DataFrame:
+    """Rows of a catalog; ids that look like numbers or dates stay the text they are."""
+    paths = [f"{root}/{e[name]}" for e in _entries(spark, root, table)]
+    if not paths:
+        raise ValueError(f"nothing imported below {root}" + (f" in table {table!r}" if table else ""))
+    return spark.read.schema(schema).option("basePath", f"{root}/{folder}").parquet(*paths)

@@ -84,3 +84,10 @@ def write_recordings(
     rows = rows.repartition(parts, "__file").sortWithinPartitions("__file", *order_by)
     schema = T.StructType().add("file_path", T.StringType()).add("frames", T.LongType())
     return rows.mapInPandas(write, schema)
+
+
+def write_bytes(path: str, raw: bytes) -> None:
+    """A file of these bytes."""
+    fs, inner = _filesystem(path)
+    with fs.open_output_stream(inner) as out:
+        out.write(raw)

@@ -16,6 +16,7 @@ from decimal import Decimal
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -538,6 +539,38 @@ def read_recordings(spark: SparkSession, path, on_bad_file: str = "fail", comple
     return _view(spark, path, "frames", schema, on_bad_file=on_bad_file, complex=complex)
 
 
+def audited_signals(files: DataFrame, complex: str = "struct") -> DataFrame:
+    """:func:`read_recording_signals` of exactly these rows of an audit."""
+    names = [f.name for f in T.StructType.fromDDL(SIGNAL_COLUMNS)]
+    reader = _RecordingReader(None, {"path": "", "view": "signals", "complex": complex})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for path, size in zip(rows["file_path"], rows["file_size_bytes"]):
+                yield pd.DataFrame(list(reader._signals(path, int(size))), columns=names)
+
+    return _dealt(files).mapInPandas(read, SIGNAL_COLUMNS)
+
+
+def audited_frames(files: DataFrame, schema: T.StructType, complex: str = "struct") -> DataFrame:
+    """:func:`read_recordings` of exactly these rows of an audit, as long as they were then."""
+    reader = _RecordingReader(schema, {"path": "", "complex": complex})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for row in rows.to_pylist():
+                yield from reader._frames(row["file_path"], row["file_size_bytes"])
+
+    return _dealt(files).mapInArrow(read, schema)
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Paths and sizes over as many tasks as the bytes are worth."""
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("file_size_bytes"), F.lit(0))).first()
+    tasks = max(size // _PACK_BYTES, min(files.sparkSession.sparkContext.defaultParallelism, size // _PACK_LEAST), 1)
+    return files.select("file_path", "file_size_bytes").repartition(int(min(tasks, max(n, 1))))
+
+
 def frame_schema(signals: DataFrame) -> T.StructType:
     """Schema of the frames of the files in a signal catalog."""
     about = ["original_name", "signal_type", "dimensions_json", "formula"]

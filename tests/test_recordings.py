@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recording_bytes import MARKER, SAMPLE_ROWS, SAMPLE_SIGNALS, header, recording
 from rowtide.operators.profile import column_check, frame_count, presence
 from rowtide.sources import recordings
+from rowtide.sources import manifests, recording_import
 from rowtide.sources.recording_import import (
     import_recordings,
     read_imported,
@@ -232,3 +233,64 @@ def test_import(spark, put, tmp_path):
         import_recordings(spark, folder, root, "bad name")
     with pytest.raises(ValueError):
         read_imported(spark, root, "missing")
+
+
+def test_a_bad_file_with_another_type_is_quarantined(spark, put, tmp_path):
+    """Signals of files that are not valid count for nothing."""
+    put("in/a.bin", recording(SAMPLE_SIGNALS, SAMPLE_ROWS))
+    other = [s if s[0] != "speed" else ("speed", 12, (), "") for s in SAMPLE_SIGNALS]
+    put("in/b.bin", recording(other, [])[:-4])
+    root = str(tmp_path / "lake")
+    result = import_recordings(spark, str(tmp_path / "in"), root, "t", on_bad_file="quarantine")
+    assert (result.imported_files, result.rejected_files, result.frame_count) == (1, 1, 3)
+    assert read_imported(spark, root, "t").schema["speed"].dataType.simpleString() == "double"
+    assert recording_signals(spark, root, "t").count() == 5
+
+
+def test_only_audited_files_are_imported(spark, put, tmp_path, monkeypatch):
+    """A file that arrives after the audit is in no table, one that grew is read as it was."""
+    put("in/a.bin", recording(SAMPLE_SIGNALS, SAMPLE_ROWS))
+    root, audited = str(tmp_path / "lake"), recording_import.audited_signals
+
+    def meanwhile(files, *args):
+        put("in/b.bin", recording(SAMPLE_SIGNALS, SAMPLE_ROWS))
+        with open(tmp_path / "in" / "a.bin", "ab") as f:
+            f.write(b"more")
+        return audited(files, *args)
+
+    monkeypatch.setattr(recording_import, "audited_signals", meanwhile)
+    result = import_recordings(spark, str(tmp_path / "in"), root, "t")
+    assert result.imported_files == 1 and read_imported(spark, root, "t").count() == 3
+    assert [r["file_path"][-5:] for r in recording_files(spark, root, "t").collect()] == ["a.bin"]
+
+
+def test_an_import_counts_from_its_manifest_on(spark, put, tmp_path, monkeypatch):
+    put("in/a.bin", recording(SAMPLE_SIGNALS, SAMPLE_ROWS))
+    root, folder = str(tmp_path / "lake"), str(tmp_path / "in")
+    import_recordings(spark, folder, root, "t")
+    with monkeypatch.context() as m:
+        m.setattr(recording_import, "add_manifest", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            import_recordings(spark, folder, root, "t", mode="append")
+    assert read_imported(spark, root, "t").count() == 3 and recording_files(spark, root).count() == 1
+    # a manifest that was never finished, and one that another writer makes meanwhile
+    at = f"{root}/_manifests/t"
+    (tmp_path / "lake/_manifests/t/000000000001.json").write_text('{"entr')
+    assert manifests.last_manifest(spark, at)[0] == 1 and len(manifests.last_manifest(spark, at)[1]) == 1
+    raced = []
+
+    def change(entries):
+        return [*entries, {"import_id": "x", "n": len(raced)}]
+
+    last = manifests.last_manifest
+
+    def slow(*args):
+        found = last(*args)
+        if not raced:
+            raced.append(1)
+            manifests.add_manifest(spark, at, lambda e: [*e, {"import_id": "faster"}])
+        return found
+
+    monkeypatch.setattr(manifests, "last_manifest", slow)
+    assert manifests.add_manifest(spark, at, change) == 3
+    assert [e["import_id"] for e in last(spark, at)[1]][1:] == ["faster", "x"]
