@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rowtide.functions.markers import Inherit
 from rowtide.operators.sparse import expand_sparse
-
-SNAPSHOT_EVERY = 20  # batches between full copies of the carry table
+from rowtide.plans.staging import remove
+from rowtide.sources.manifests import folders
 
 
 def expand_stream(
@@ -29,9 +28,12 @@ def expand_stream(
     """Append the expanded rows of a stream to the table ``out`` (partitioned by batch).
 
     Each batch is expanded with the batch operator, so a hot key is spread over tasks.
-    What the next batches need, the last values per key, is a table at ``state``: each
-    batch adds its keys, now and then all are written anew. Both writes are by batch
-    number, so a batch run again replaces itself. Rows at or before the last order key
+    What the next batches need, the last values per key, lies at ``state`` as runs of
+    batches: after batch n there is a run for each one bit of n + 1, as long as its value,
+    with a row for each key. A batch writes one run, merged from its own keys and the
+    shorter runs before; what it covers is removed when the next batch begins. So there are at
+    most log2(batches) + 1 runs, none larger than the number of keys. Runs are named by batch
+    numbers, so a batch run again replaces its own. Rows at or before the last order key
     already emitted for their key come too late and are dropped.
     """
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
@@ -65,7 +67,8 @@ def _expand_batch(
     group = keys or ["__one"]
     if not keys:
         batch = batch.withColumn("__one", F.lit(0))
-    carry, since = _carry(batch, batch_id, group, order_by, cols, state)
+    runs = _runs(batch.sparkSession, state, batch_id)
+    carry = _merged(batch, group, order_by, cols, state, runs)
     same = [F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}")) for k in group]
     on = same[0]
     for part in same[1:]:
@@ -91,33 +94,43 @@ def _expand_batch(
         .agg(F.max_by(F.struct(order_by, *cols), order_by).alias("__row"))
         .select(*group, "__row.*")
     )
-    full = since is None or batch_id - since >= SNAPSHOT_EVERY
-    if full:
-        untouched = carry.alias("s").join(latest.select(*group).alias("b"), on, "left_anti")
+    after = batch_id + 1
+    begin = after - (after & -after)
+    shorter = [r for r in runs if r[0] >= begin]
+    if shorter:
+        earlier = _merged(batch, group, order_by, cols, state, shorter)
+        untouched = earlier.alias("s").join(latest.select(*group).alias("b"), on, "left_anti")
         latest = latest.unionByName(untouched)
-    kind = "snapshot" if full else "delta"
-    latest.write.mode("overwrite").parquet(f"{state}/kind={kind}/batch_id={batch_id}")
-
-
-def _carry(
-    batch: DataFrame, batch_id: int, group: list[str], order_by: str, cols: list[str], state: str
-) -> tuple[DataFrame, int | None]:
-    """Last row per key before this batch, and the batch of the last full copy."""
-    spark = batch.sparkSession
-    empty = batch.select(*group, order_by, *cols).where("false")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in empty.schema)
-    try:
-        table = spark.read.schema(f"{fields}, kind string, batch_id bigint").parquet(state)
-        table = table.where(F.col("batch_id") < batch_id)
-        since = table.where("kind = 'snapshot'").agg(F.max("batch_id")).first()[0]
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return empty, None  # nothing written yet
-    if since is None:
-        return empty, None
-    rows = table.where(F.col("batch_id") >= since)
-    latest = rows.groupBy(*group).agg(
-        F.max_by(F.struct(order_by, *cols), "batch_id").alias("__row")
-    )
-    return latest.select(*group, "__row.*"), since
+    latest.write.mode("overwrite").parquet(_run_path(state, (begin, after)))
+
+
+def _run_path(state: str, run: tuple[int, int]) -> str:
+    return f"{state}/batches-{run[0]:012d}-{run[1]:012d}"
+
+
+def _runs(spark: SparkSession, state: str, batch_id: int) -> list[tuple[int, int]]:
+    """The runs (first batch, batch behind the last) that together hold all batches before
+    this one; others of these batches are removed, as the batches they were for are done."""
+    names = [n.removeprefix("batches-").split("-") for n in folders(spark, state) if n.startswith("batches-")]
+    found = sorted(((int(a), int(b)) for a, b in names if int(b) <= batch_id), key=lambda r: (r[0], -r[1]))
+    kept: list[tuple[int, int]] = []
+    for run in found:
+        if not kept or run[0] >= kept[-1][1]:
+            kept.append(run)
+        else:
+            remove(spark, _run_path(state, run))
+    return kept
+
+
+def _merged(
+    batch: DataFrame, group: list[str], order_by: str, cols: list[str], state: str, runs: list[tuple[int, int]]
+) -> DataFrame:
+    """Last row per key in some runs."""
+    rows = batch.select(*group, order_by, *cols).where("false")
+    schema = rows.schema
+    rows = rows.withColumn("__until", F.lit(0))
+    for run in runs:
+        part = batch.sparkSession.read.schema(schema).parquet(_run_path(state, run))
+        rows = rows.unionByName(part.withColumn("__until", F.lit(run[1])))
+    latest = rows.groupBy(*group).agg(F.max_by(F.struct(order_by, *cols), "__until").alias("__row"))
+    return latest.select(*group, "__row.*")

@@ -10,6 +10,7 @@ from rowtide.operators.sampling import bernoulli
 from rowtide.operators.sparse import expand_sparse
 from rowtide.sources.recording_import import read_imported, recording_files
 from rowtide.sources.sparse_csv import read_sparse_csv
+from rowtide.streaming import expand
 from rowtide.streaming.expand import expand_stream
 from rowtide.streaming.sinks import import_recording_stream, write_sparse_stream
 
@@ -37,8 +38,7 @@ def random_rows(n):
     ]
 
 
-def test_expand_stream_equals_batch(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("rowtide.streaming.expand.SNAPSHOT_EVERY", 2)
+def test_expand_stream_equals_batch(spark, tmp_path):
     rows = random_rows(200)
     for keys in ("user", ()):
         base = tmp_path / f"k{len(keys)}"
@@ -51,6 +51,22 @@ def test_expand_stream_equals_batch(spark, tmp_path, monkeypatch):
         assert got.drop("batch_id").orderBy("id").collect() == want.orderBy("id").collect()
 
 
+def test_carried_rows_are_merged_and_batches_can_run_again(spark, tmp_path):
+    rows = random_rows(130)
+    want = expand_sparse(spark.createDataFrame(rows, SCHEMA), "id", ["a", "b"], "user").orderBy("id").collect()
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for i in range(13):
+        batch = spark.createDataFrame(rows[10 * i : 10 * i + 10], SCHEMA)
+        for _ in range(2 if i % 3 == 0 else 1):  # some batches die after their last write, and run again
+            expand._expand_batch(batch, i, "id", ["a", "b"], ["user"], out, state, "whitespace")
+        runs = sorted(os.listdir(state))
+        assert len(runs) <= 2 * (i + 1).bit_length() + 1
+        assert all(spark.read.parquet(f"{state}/{r}").count() <= 4 for r in runs)  # a row for each key at most
+    assert expand._runs(spark, state, 13) == [(0, 8), (8, 12), (12, 13)]
+    assert sorted(os.listdir(state)) == [f"batches-{a:012d}-{b:012d}" for a, b in ((0, 8), (8, 12), (12, 13))]
+    assert spark.read.parquet(out).drop("batch_id").orderBy("id").collect() == want
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     rows = [(5, 1, 1.0, "x"), (3, 1, 9.0, "late"), (6, 1, None, "")]
     out = str(tmp_path / "out")
