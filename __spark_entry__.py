@@ -121,6 +121,15 @@ def expand_orders_by_priority(spark, sf_dir):
     return expand_sparse(marked, ["o_orderdate", "o_orderkey"], cols, "o_orderpriority")
 
 
+def expand_null_key_events(spark, sf_dir):
+    """One event lost its id: NULL is the first position."""
+    events = _table(spark, sf_dir, "events").select("event_id", *EVENT_CELLS)
+    some = events.agg(F.max("event_id")).first()[0]
+    lost = events.withColumn("event_id", F.when(F.col("event_id") != some, F.col("event_id")))
+    marked = lost.withColumn("props", F.when(F.col("event_type") == "purchase", F.col("props")))
+    return expand_sparse(marked, "event_id", ["props"], blocks=7)
+
+
 def expand_events_aggregate(spark, sf_dir):
     """Sparsify, expand again, aggregate per event type."""
     full = expand_events(spark, sf_dir)
@@ -486,6 +495,40 @@ def recording_import_check(spark, sf_dir):
     )
 
 
+#: Type codes and dimensions of the signals of ``recording_all_types``.
+ALL_TYPES = {
+    "u64": (0, ()), "u32": (1, ()), "u16": (2, ()), "u8": (3, ()), "i64": (4, ()), "i32": (5, ()), "i16": (6, ()),
+    "i8": (7, ()), "bool": (8, ()), "enum": (9, ()), "f32": (10, ()), "f64": (11, ()), "text": (12, ()),
+    "blob": (13, ()), "c32": (14, ()), "c64": (15, ()), "grid": (5, (2, 3)), "bins": (11, (3,)),
+}
+
+
+def recording_all_types(spark, sf_dir):
+    """Orders as recordings with all 16 scalar types and two arrays; every third order lacks half of them."""
+    key, customer, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice").cast("double")
+    priority = F.col("o_orderpriority")
+    cells = {
+        "u64": key, "u32": customer, "u16": key % 60_000, "u8": key % 250, "i64": -key, "i32": -customer,
+        "i16": key % 30_000 - 15_000, "i8": key % 250 - 125, "bool": key % 2 == 0, "enum": key * 3,
+        "f32": (key % 1000) / 8, "f64": price, "text": priority, "blob": F.concat(priority, F.lit("ü")).cast("binary"),
+        "c32": F.array((key % 100) / 4, F.lit(0.5)), "c64": F.array(price, -price),
+        "grid": F.array(*[(key % 1000 + i).cast("int") for i in range(6)]),
+        "bins": F.array(*[((key + i) % 7).cast("double") for i in range(3)]),
+    }
+    few = list(cells)[1::2]
+    shown = [F.when(key % 3 != 0, c).alias(n) if n in few else c.alias(n) for n, c in cells.items()]
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("file"), key.alias("time_ns"), *shown)
+    path = scratch_path(spark, "all-types")
+    write_recordings(orders, path, "file", "time_ns", list(cells), ["time_ns"], ALL_TYPES).agg(F.sum("frames")).collect()
+    frames = _file_name(read_recordings(spark, path))
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("time_ns", "u64", "u32", "u16", "u8", "i64", "i32", "i16", "i8", "enum")]
+    parts = [F.col(f"{c}.{p}").alias(f"{c}_{p}") for c in ("c32", "c64") for p in ("re", "im")]
+    arrays = [F.array_join(F.transform(c, lambda x: x.cast("bigint").cast("string")), " ").alias(c) for c in ("grid", "bins")]
+    return frames.select(
+        "file", *whole, "bool", F.col("f32").cast("double").alias("f32"), "f64", "text", F.hex("blob").alias("blob"), *parts, *arrays
+    )
+
+
 def recording_quarantine_check(spark, sf_dir):
     """Whole recordings beside cut-off ones, one for each day, whose user is text; only the whole ones count."""
     path, root = _recorded(spark, sf_dir), scratch_path(spark, "lake")
@@ -664,6 +707,25 @@ SELECT event_id, user_id, event_type,
 FROM events"""
 
 
+def _all_types_sql() -> str:
+    key, price = "o_orderkey", "CAST(o_totalprice AS DOUBLE)"
+    cells = {
+        "u64": key, "u32": "o_custkey", "u16": f"{key} % 60000", "u8": f"{key} % 250", "i64": f"-{key}", "i32": "-o_custkey",
+        "i16": f"{key} % 30000 - 15000", "i8": f"{key} % 250 - 125", "bool": f"{key} % 2 = 0", "enum": f"{key} * 3",
+        "f32": f"({key} % 1000) / 8", "f64": price, "text": "o_orderpriority", "blob": "hex(encode(o_orderpriority || 'ü'))",
+        "c32": None, "c64": None, "grid": f"concat_ws(' ', {', '.join(f'{key} % 1000 + {i}' for i in range(6))})",
+        "bins": f"concat_ws(' ', {', '.join(f'({key} + {i}) % 7' for i in range(3))})",
+    }
+    few = list(cells)[1::2]
+    cells |= {"c32_re": f"({key} % 100) / 4", "c32_im": "0.5", "c64_re": price, "c64_im": f"-{price}"}
+    shown = [
+        f"CASE WHEN {key} % 3 <> 0 THEN {c} END AS \"{n}\"" if n.split("_")[0] in few else f"{c} AS \"{n}\""
+        for n, c in cells.items()
+        if c
+    ]
+    return f"SELECT o_orderstatus || '.bin' AS file, {key} AS time_ns, {', '.join(shown)} FROM orders"
+
+
 def _numbered(table: str, order: str, where: str, columns: str = "*") -> str:
     return (
         f"SELECT {columns} FROM (SELECT row_number() OVER (ORDER BY {order}) - 1 AS row_index, * FROM {table})"
@@ -709,6 +771,11 @@ def oracle_sql() -> dict[str, str]:
         "sparsify_events": _sparse_sql(EVENT_CELLS),
         "expand_events": _fill_sql(),
         "expand_sparse_events": _fill_sql(),
+        "expand_null_key_events": """
+            WITH e AS (SELECT nullif(event_id, (SELECT max(event_id) FROM events)) AS event_id, user_id, event_type,
+                              CASE WHEN event_type = 'purchase' THEN props END AS p FROM events)
+            SELECT event_id, user_id, event_type, last_value(p IGNORE NULLS) OVER (
+                     ORDER BY event_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS props FROM e""",
         "expand_last_purchase_by_user": _PURCHASES,
         "expand_orders_by_priority": """
             SELECT o_orderkey, o_orderdate, o_orderpriority,
@@ -848,6 +915,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS rows, count(value_eur) AS count_value_eur, count(props) AS count_props,
                    CAST(sum("user") AS BIGINT) AS sum_user, count(DISTINCT file) AS files, count(*) AS frames
             FROM ({_FRAMES})""",
+        "recording_all_types": _all_types_sql(),
         "recording_quarantine_check": f"""
             SELECT count(*) AS rows, count(value_eur) AS count_value_eur, CAST(sum("user") AS BIGINT) AS sum_user,
                    CAST(count(DISTINCT file) AS INTEGER) AS valid, CAST(count(DISTINCT file) AS INTEGER) AS rejected,
@@ -867,7 +935,7 @@ def oracle_sql() -> dict[str, str]:
 def core_queries() -> list[Callable[[SparkSession, str], DataFrame]]:
     """The queries of the order-aware library, without those for training data; each has SQL."""
     return [
-        sparsify_events, expand_events, expand_sparse_events, expand_last_purchase_by_user, expand_orders_by_priority,
+        sparsify_events, expand_events, expand_sparse_events, expand_null_key_events, expand_last_purchase_by_user, expand_orders_by_priority,
         expand_events_aggregate, sparsify_lineitem, sparsity_stats_events, sparsity_stats_lineitem,
         compare_orders_lineitem, range_orders_key, range_orders_price, range_events_value_below,
         range_parts_text, range_sorted_copy_lineitem, row_numbers_orders, rowid_range_orders, rowid_set_documents, rowid_range_lineitem,
@@ -879,7 +947,7 @@ def core_queries() -> list[Callable[[SparkSession, str], DataFrame]]:
         normalized_names_part, csv_round_trip_events, csv_round_trip_lineitem, csv_round_trip_documents,
         csv_utf16_documents, csv_ragged_and_blank_orders, csv_skipped_rows_orders, csv_empty_orders,
         csv_rows_written, recording_frames, recording_signals_by_file, recording_audit,
-        recording_frame_counts, recording_import_check, recording_quarantine_check, stream_expand_by_user, stream_bernoulli,
+        recording_frame_counts, recording_all_types, recording_import_check, recording_quarantine_check, stream_expand_by_user, stream_bernoulli,
         stream_sparse_sink, stream_recording_import,
     ]
 

@@ -30,11 +30,9 @@ COPIES = "__rt_copies"
 PREV = "__rt_prev"
 
 ROWS_PER_BLOCK = 10_000  # below this a table stays in one block
-BLOCKS_PER_PARTITION = 4  # evens out the hash placement of blocks
-MAX_BLOCKS = 16_384
+MAX_BLOCKS = 16_384  # borders are constants of the plan; larger tables have longer blocks, sorted by tasks that spill
 SAMPLES_PER_BLOCK = 20
 COPIES_PER_CHUNK = 1_000
-TWO_STEP_ROWS = 300_000
 
 
 @dataclass(frozen=True)
@@ -139,8 +137,7 @@ def order_rows(
 
     rows = df.count()
     if blocks is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        blocks = min(MAX_BLOCKS, partitions * BLOCKS_PER_PARTITION, rows // ROWS_PER_BLOCK)
+        blocks = min(MAX_BLOCKS, rows // ROWS_PER_BLOCK)
 
     borders = _borders(df, group + order, rows, blocks, unique) if blocks > 1 and rows else None
     collapse = borders is not None and CHUNK in borders.keys
@@ -216,13 +213,13 @@ def last_in_blocks(rows: OrderedRows, values: dict[str, str]) -> DataFrame:
 
 
 def _in_two_steps(rows: OrderedRows) -> bool:
-    """Large tables with a single number or time as order key, and few groups: as many
-    places as blocks, small enough to be broadcast."""
+    """A single number or time as order key, and few groups: as many places as blocks,
+    small enough to be broadcast."""
     by_number = isinstance(
         rows.df.schema[rows.order[0]].dataType, (T.IntegralType, T.TimestampType, T.TimestampNTZType, T.DateType)
     )
     few_groups = not rows.group or not rows.null_groups  # none, or files
-    return len(rows.order) == 1 and by_number and few_groups and (rows.total or 0) >= TWO_STEP_ROWS
+    return len(rows.order) == 1 and by_number and few_groups
 
 
 def carried(rows: OrderedRows, values: dict[str, str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowtide.sources.recordings import END_MARKER, SIGNAL_TYPES, VERSION, _filesystem
+from rowtide.sources.recordings import END_MARKER, SIGNAL_TYPES, VERSION, Signal, _filesystem
 
 # Spark type -> type code of the signal
 _CODES = {"bigint": 4, "int": 5, "smallint": 6, "tinyint": 7, "boolean": 8, "float": 10, "double": 11, "string": 12, "binary": 13}
@@ -19,18 +19,29 @@ _BUFFER = 1 << 20
 
 
 def write_recordings(
-    df: DataFrame, path: str, file_by: str, time: str, signals: Sequence[str], order_by: Sequence[str]
+    df: DataFrame,
+    path: str,
+    file_by: str,
+    time: str,
+    signals: Sequence[str],
+    order_by: Sequence[str],
+    kinds: Mapping[str, tuple[int, tuple[int, ...]]] | None = None,
 ) -> DataFrame:
-    """Write scalar signals as ``<path>/<file_by>.bin``; returns file paths and frames.
+    """Write signals as ``<path>/<file_by>.bin``; returns file paths and frames.
 
     Signal 0 is ``time``, a non-negative integer; NULL cells are absent from their
-    frame. A file is written front to back by one task, to a temporary name first.
+    frame. ``kinds`` gives a signal's type code and dimensions where they don't follow from
+    its column; arrays and complex numbers (two numbers each) come from flat arrays. A
+    file is written front to back by one task, to a temporary name first.
     """
-    codes = [_CODES[df.schema[s].dataType.simpleString()] for s in signals]
+    kinds = {time: (0, ()), **{s: (_CODES.get(df.schema[s].dataType.simpleString()), ()) for s in signals}} | dict(kinds or {})
+    described = [Signal(i, *kinds[name], name, "") for i, name in enumerate([time, *signals])]
+    codes = [s.code for s in described[1:]]
     head = struct.pack("<QQ", VERSION, 1 + len(signals))
-    for name, code in zip([time, *signals], [0, *codes]):
-        raw = name.encode()
-        head += struct.pack("<BIQ", code, 0, len(raw)) + raw + struct.pack("<I", 0)
+    for s in described:
+        raw = s.name.encode()
+        head += struct.pack("<BI", s.code, len(s.dims)) + b"".join(struct.pack("<I", d) for d in s.dims)
+        head += struct.pack("<Q", len(raw)) + raw + struct.pack("<I", 0)
     width = (1 + len(signals) + 7) // 8
 
     def frames(pdf: pd.DataFrame) -> list[bytes]:
@@ -46,8 +57,12 @@ def write_recordings(
                 raws = [v.encode() if code == 12 and p else v for v, p in zip(pdf[name], present)]
                 cells = [struct.pack("<Q", len(r)) + r if p else b"" for r, p in zip(raws, present)]
             else:
-                values = pdf[name].where(present, 0).to_numpy().astype(kind)
-                size, data = values.itemsize, values.tobytes()
+                if described[i].parts > 1:
+                    none = np.zeros(described[i].parts)
+                    values = np.stack([v if p else none for v, p in zip(pdf[name], present)]).astype(kind)
+                else:
+                    values = pdf[name].where(present, 0).to_numpy().astype(kind)
+                size, data = described[i].size, values.tobytes()
                 cells = [data[k * size : (k + 1) * size] if p else b"" for k, p in enumerate(present)]
             parts.append(cells)
         bitmaps = np.packbits(bits, axis=1, bitorder="little")

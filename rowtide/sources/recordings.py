@@ -271,8 +271,27 @@ def walk_frames(file: _File, header: Header) -> Iterator[tuple[bytes, list[tuple
         raise RecordingError("end marker is missing or cut off")
 
 
+@dataclass(frozen=True)
+class Pieces:
+    """Stretches of some bytes, one for each row."""
+
+    raw: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+
+    def joined(self) -> np.ndarray:
+        """All stretches, one behind the other."""
+        whole = int(self.length.sum())
+        if whole > 32 * len(self.length):  # few long ones
+            data = self.raw.data
+            parts = [data[a : a + n] for a, n in zip(self.start.tolist(), self.length.tolist()) if n]
+            return np.frombuffer(b"".join(parts), np.uint8)
+        ends = np.cumsum(self.length)
+        return self.raw[np.arange(whole) + np.repeat(self.start - ends + self.length, self.length)]
+
+
 def decode(header: Header, data: bytes, runs: list[tuple[_Layout, np.ndarray]]) -> dict[int, tuple]:
-    """Per signal: presence mask and the values present, as numpy array or list."""
+    """Per signal: presence mask and the values, as numpy array or pieces of the data."""
     total = sum(len(a) for _, a in runs)
     raw = np.frombuffer(data, np.uint8)
     # runs of one pattern may alternate frame by frame: decode each pattern at once
@@ -288,7 +307,8 @@ def decode(header: Header, data: bytes, runs: list[tuple[_Layout, np.ndarray]])
         present = np.zeros(total, bool)
         kind = SIGNAL_TYPES[signal.code][0]
         shape = (total, signal.parts)
-        values = np.empty(total, object) if kind is None else np.zeros(shape, kind)
+        starts, lengths = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        values = Pieces(raw, starts, lengths) if kind is None else np.zeros(shape, kind)
         for layout, parts, at in patterns.values():
             if signal.index not in layout.places:
                 continue
@@ -297,8 +317,8 @@ def decode(header: Header, data: bytes, runs: list[tuple[_Layout, np.ndarray]])
             start = anchors[:, anchor] + distance
             present[rows] = True
             if kind is None:
-                for row, lo, hi in zip(rows, start + 8, anchors[:, anchor + 1]):
-                    values[row] = data[lo:hi]
+                starts[rows] = start + 8
+                lengths[rows] = anchors[:, anchor + 1] - start - 8
             else:
                 cells = raw[start[:, None] + np.arange(signal.size)]
                 values[rows] = np.ascontiguousarray(cells).view(kind)
@@ -309,10 +329,8 @@ def decode(header: Header, data: bytes, runs: list[tuple[_Layout, np.ndarray]])
 def to_arrow(signal: Signal, present: np.ndarray, values: np.ndarray, type_: pa.DataType) -> pa.Array:
     """The values as an Arrow column, NULL where not present."""
     absent = ~present
-    if signal.code == STRING:
-        return pa.array([None if v is None else v.decode("utf-8", "replace") for v in values], type_)
-    if signal.code == BINARY:
-        return pa.array(list(values), type_)
+    if signal.code in (STRING, BINARY):
+        return _varying(signal, present, values, type_)
     if signal.code == BOOL:
         values = values != 0
     scalar = type_.value_type if signal.dims else type_
@@ -333,6 +351,30 @@ def to_arrow(signal: Signal, present: np.ndarray, values: np.ndarray, type_: pa.
     return items.take(pa.array(np.arange(len(present)), mask=absent))
 
 
+def _varying(signal: Signal, present: np.ndarray, values: Pieces, type_: pa.DataType) -> pa.Array:
+    """Texts or bytes as one buffer and offsets; texts that aren't UTF-8 get replacement characters."""
+    data = values.joined()
+    offsets = np.concatenate([[0], np.cumsum(values.length)])
+    if signal.code == STRING and not _all_utf8(data, offsets):
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") if p else None for a, b, p in zip(offsets[:-1], offsets[1:], present)]
+        return pa.array(texts, type_)
+    valid = np.packbits(present, bitorder="little")
+    buffers = [pa.py_buffer(valid), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
+    large = pa.large_string() if signal.code == STRING else pa.large_binary()
+    return pa.Array.from_buffers(large, len(present), buffers).cast(type_)
+
+
+def _all_utf8(data: np.ndarray, offsets: np.ndarray) -> bool:
+    """Whether each piece by itself is UTF-8: all together are, and none begins within a character."""
+    try:
+        data.tobytes().decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    begins = offsets[:-1][offsets[:-1] < offsets[1:]]
+    return not ((data[begins] & 0xC0) == 0x80).any()
+
+
 def list_recordings(path: str, suffix: str = ".bin") -> list[tuple[str, int]]:
     """(path, size) of a recording, or of all below a folder, in path order."""
     fs, inner = _filesystem(path)

@@ -4,6 +4,8 @@ import random
 import struct
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,3 +296,21 @@ def test_an_import_counts_from_its_manifest_on(spark, put, tmp_path, monkeypatch
     monkeypatch.setattr(manifests, "last_manifest", slow)
     assert manifests.add_manifest(spark, at, change) == 3
     assert [e["import_id"] for e in last(spark, at)[1]][1:] == ["faster", "x"]
+
+
+def test_pieces_become_columns():
+    raw = "aé漢".encode() + b"\xff\xe6\xbc" + b"z" * 5000
+    text = recordings.Signal(1, 12, (), "t", "")
+    blob = recordings.Signal(1, 13, (), "b", "")
+
+    def column(signal, spans, type_):
+        data = np.frombuffer(raw, np.uint8)
+        present = np.array([s is not None for s in spans])
+        start, length = np.array([s or (0, 0) for s in spans]).T
+        return recordings.to_arrow(signal, present, recordings.Pieces(data, start, length), type_).to_pylist()
+
+    assert column(text, [(0, 1), None, (1, 2), (3, 3), (2, 0)], pa.string()) == ["a", None, "é", "漢", ""]
+    # a character cut in two is whole in the buffer, but not in its pieces
+    assert column(text, [(1, 1), (2, 1), (6, 1), (0, 3)], pa.string()) == ["\ufffd", "\ufffd", "\ufffd", "aé"]
+    assert column(blob, [(6, 3), None, (9, 5000), (9, 0)], pa.binary()) == [b"\xff\xe6\xbc", None, b"z" * 5000, b""]
+    assert column(text, [None, None], pa.string()) == [None, None]

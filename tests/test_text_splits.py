@@ -123,9 +123,9 @@ def test_quoted_breaks_in_utf16(spark, tmp_path, small_splits):
     [("utf-8", b"p,q\n1,\xff\n", 6), ("utf-16", "p\nä".encode("utf-16") + b"\x00\xd8\n\x00", 8), ("ascii", b"p\n1\n\xe4\n", 4), ("gbk", b"p\n\x81", 2)],
 )
 def test_errors_name_the_byte(spark, tmp_path, encoding, bad, at):
-    (tmp_path / "a.csv").write_bytes(b"" if encoding == "utf-16" else b"")
+    (tmp_path / "a.csv").write_bytes(b"")
     (tmp_path / "b.csv").write_bytes(bad)
-    with pytest.raises(ValueError, match=rf"b\.csv: byte {at} is not {encoding}"):
+    with pytest.raises(ValueError, match=rf"b\.csv: byte {at} is not {encoding.upper()}"):
         read(spark, tmp_path, encoding=encoding)
     assert read(spark, tmp_path / "b.csv", encoding=encoding, strict_encoding=False)
 
