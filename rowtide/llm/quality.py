@@ -160,10 +160,11 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, held_out: int = 2, divisor: int = 4, rows: int = TRAIN_ROWS
 ) -> DataFrame:
-    """``text``, ``label`` of at most ``rows`` labelled ids outside the held-out fold.
+    """``text``, ``label`` of at most ``rows`` labelled texts outside the held-out fold.
 
-    An id labelled both ways, without a label, or NULL teaches nothing. Of several
-    documents with one id each counts.
+    An id labelled both ways, without a label, or NULL teaches nothing. Different texts
+    with one id each count, repeated ones once; so the sample stays bounded however many
+    documents an id has.
     """
     known = labels.select(column(labels, "doc_id", "bigint"), column(labels, "quality", "int"))
     known = known.where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -172,7 +173,11 @@ def labelled_sample(
     known = known.where("label = most").drop("most")
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = documents.select(column(documents, "doc_id", "bigint"), column(documents, "text", "string"))
-    return texts.join(F.broadcast(drawn), "doc_id").select("text", "label")  # at most ``rows`` pairs of numbers
+    texts = texts.withColumn("key", F.xxhash64("text"))
+    taught = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "key", "label").distinct()  # ``rows`` pairs at most
+    taught = stage(taught.orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(rows), "quality-sample")
+    found = texts.join(F.broadcast(taught), ["doc_id", "key"])  # and ``rows`` rows of numbers
+    return found.groupBy("doc_id", "key").agg(F.any_value("text").alias("text"), F.any_value("label").alias("label")).drop("doc_id", "key")
 
 
 def fit(sample: DataFrame, seed: int = 7) -> Model:

@@ -8,7 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from rowtide.llm import automaton_search, centroids, repeated_spans
+from pyspark.sql import functions as F
+from rowtide.llm import automaton_search, centroids, quality, repeated_spans
 from rowtide.llm.column_suffixes import classes
 
 DOCS = "doc_id long, text string, item int, Term string, file string, PLACE int"
@@ -239,3 +240,14 @@ def test_empty_tables(spark):
     assert automaton_search.search(docs, some.selectExpr("doc_id AS item_id", "text")).count() == 0
     assert repeated_spans.remove_repeated_spans(docs).count() == 0
     assert centroids.cluster_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_a_sample_of_labelled_texts_is_bounded(spark):
+    """One id in 20,000 documents, equal ones and different ones."""
+    labels = spark.createDataFrame([(1, 1), (6, 0), (8, 1)], "doc_id long, quality int")
+    docs = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("the same text").alias("text"))
+    docs = docs.union(spark.range(500).select(F.lit(8), F.concat(F.lit("text "), "id")))
+    docs = docs.union(spark.createDataFrame([(6, "another"), (6, None)], "doc_id int, text string"))
+    sample = quality.labelled_sample(docs, labels, rows=10_000).collect()
+    assert len(sample) == len({(r["text"], r["label"]) for r in sample}) == 503
+    assert quality.labelled_sample(docs, labels, rows=100).count() == 100
