@@ -18,7 +18,7 @@ def scratch_base(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return base.rstrip("/")
+        return qualified(spark, base.rstrip("/"))
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
@@ -28,6 +28,18 @@ def scratch_base(spark: SparkSession) -> str:
     return _local_base[app]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, where one without would not mean a local file to Spark.
+
+    Tasks that open files themselves then find the same file system as Spark does.
+    """
+    if "://" in path or path.startswith("file:"):
+        return path
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path if system.getUri().getScheme() == "file" else system.makeQualified(made).toString()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder which no other call gets."""
     return f"{scratch_base(spark)}/rowtide/{label}-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowtide.plans.staging import qualified
 from rowtide.sources.recordings import END_MARKER, SIGNAL_TYPES, VERSION, Signal, _filesystem
 
 # Spark type -> type code of the signal
@@ -34,6 +35,7 @@ def write_recordings(
     its column; arrays and complex numbers (two numbers each) come from flat arrays. A
     file is written front to back by one task, to a temporary name first.
     """
+    path = qualified(df.sparkSession, path)
     kinds = {time: (0, ()), **{s: (_CODES.get(df.schema[s].dataType.simpleString()), ()) for s in signals}} | dict(kinds or {})
     described = [Signal(i, *kinds[name], name, "") for i, name in enumerate([time, *signals])]
     codes = [s.code for s in described[1:]]

@@ -26,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowtide.functions.names import normalize_names
+from rowtide.plans.staging import qualified
 
 FORMAT = "rowtide_recordings"
 
@@ -547,7 +548,7 @@ class _RecordingReader(DataSourceReader):
 
 def _view(spark: SparkSession, path, view: str, schema: T.StructType | None = None, **options) -> DataFrame:
     spark.dataSource.register(RecordingSource)
-    paths = [path] if isinstance(path, str) else list(path)
+    paths = [qualified(spark, p) for p in ([path] if isinstance(path, str) else path)]
     reader = spark.read.format(FORMAT).option("view", view).option("recordings", json.dumps(paths))
     reader = reader.option("tasks", spark.sparkContext.defaultParallelism)
     for name, value in options.items():
