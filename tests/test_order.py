@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rowtide.operators import lookup
 from rowtide.operators.lookup import add_row_index, row_query
 from rowtide.operators.sampling import systematic
 from rowtide.operators.sparse import compare_orders, expand_sparse, sparsify, sparsity_stats
@@ -214,3 +215,28 @@ def test_stored_order(spark, tmp_path):
     assert "hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         read_stored_order(spark, path, "v")
+
+
+@pytest.mark.parametrize("blocks", [None, 1, 9])
+def test_long_position_lists(spark, blocks):
+    """Lists and tables of positions, with gaps, repeats and positions beyond the table."""
+    df = spark.range(20_000).selectExpr("id * 3 as k", "id % 7 as v").repartition(5)
+    wanted = sorted({i * i % 26_000 for i in range(6000)} - {-1})
+    want = [(i, i * 3, i % 7) for i in wanted if i < 20_000]
+    table = spark.createDataFrame([(i + 1,) for i in wanted + wanted[:50]], "p int")
+    for q in ({"row_numbers": wanted}, {"rowid_set": {i + 1 for i in wanted}}, {"rowid_set": table}):
+        assert sorted(tuple(r) for r in row_query(df, "k", blocks=blocks, **q).collect()) == want
+    assert row_query(df, "k", row_numbers=[], blocks=blocks).count() == 0
+    assert row_query(df, "k", row_numbers=[-1, 20_000], blocks=blocks).count() == 0
+
+
+def test_few_positions_read_few_blocks(spark):
+    df = spark.range(20_000).selectExpr("id as k")
+    picked = row_query(df, "k", row_numbers=[3, 19_999], blocks=40)
+    assert sorted(r["k"] for r in picked.collect()) == [3, 19_999]
+    held = lookup._holding(
+        spark.createDataFrame([(b, 500 * b, 500) for b in range(40)], "b int, __rt_start bigint, __rt_count bigint"),
+        spark.createDataFrame([(3,), (499,), (500,), (19_999,)], "__rt_wanted bigint"),
+        20_000,
+    )
+    assert sorted(r["b"] for r in held.collect()) == [0, 1, 39]

@@ -46,19 +46,27 @@ def test_reservoir_is_even_over_rows(spark):
     assert reservoir(df.limit(0), 5, "id").count() == 0
 
 
-def test_the_final_sort_sees_few_rows(spark):
+def test_nothing_is_sorted_or_gathered(spark):
+    """The sample is a filter on about twice as many rows, written out."""
     df = spark.range(100_000)
     picked = sampling._smallest(df, sampling.row_hash(1, "id"), 50, ["id"])
-    plan = picked._jdf.queryExecution().optimizedPlan().toString()
-    assert "scalar-subquery" in plan
-    level = "48 - length(bin(cast(conv(substring(md5(concat('1:', id)), 1, 12), 16, 10) as bigint)))"
-    most = df.groupBy(F.expr(level).alias("l")).count().orderBy(F.desc("l")).collect()
-    kept = 0
-    for r in most:
-        kept += r["count"]
-        if kept >= 50:
-            break
-    assert 50 <= kept < 200
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "TakeOrdered" not in plan
+    read = picked._jdf.queryExecution().optimizedPlan().collectLeaves().head()
+    assert spark.read.parquet(read.relation().location().rootPaths().head().toString()).count() < 200
+    hashed = sorted((hashlib.md5(f"1:{i}".encode()).hexdigest(), i) for i in range(100_000))
+    assert ids(picked) == sorted(i for _, i in hashed[:50])
+
+
+@pytest.mark.parametrize("size", [1, 700, 701, 1500, 2500])
+def test_borders_among_equal_keys(spark, size):
+    """A hot key fills most of the table: its rows are taken as far as they are needed."""
+    rows = [(7, i) for i in range(1500)] + [(i, 0) for i in range(1000, 2000)]
+    df = spark.createDataFrame(rows, "id bigint, n bigint")
+    got = reservoir(df, size, "id", 1).collect()
+    hashed = sorted(hashlib.md5(f"1:{r[0]}".encode()).hexdigest() for r in rows)
+    assert sorted(hashlib.md5(f"1:{r['id']}".encode()).hexdigest() for r in got) == hashed[:size]
+    assert len(set(got)) == size
 
 
 @pytest.mark.parametrize("blocks", [1, 6])
