@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.plans.staging import stage
+from rowtide.plans.staging import release, stage
 
 
 def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -33,7 +33,9 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
         first = stage(large.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least")), "first")
         small = large.join(first, large["high"] == first["node"])
         small = small.select(F.col("low").alias("a"), F.col("least").alias("b")).union(first)
+        before = stars
         stars = stage(_oriented(small.where("a <> b")).distinct(), "links")
+        release(before, nearest, large, first)
     centres = stars.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     return stars.select(F.col("high").alias("node"), F.col("low").alias("component")).union(centres)
 

@@ -12,10 +12,10 @@ is linked already does not meet itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.plans.staging import stage
+from rowtide.plans.staging import release, stage
 
 
 def crossing_pairs(sets: DataFrame, percent: int) -> DataFrame:
@@ -25,18 +25,21 @@ def crossing_pairs(sets: DataFrame, percent: int) -> DataFrame:
     distinct values. A node has one row. Pairs that are not alike can come out as well.
     """
     rows = sets.select("node", "component", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rows = stage(rows, "tokens")
     counts = rows.groupBy("token").agg(
         F.count(F.lit(1)).alias("known"), F.min("component").alias("low"), F.max("component").alias("high")
     )
     counts = stage(counts.where("low <> high").select("token", "known"), "token-counts")
-    own = Window.partitionBy("node")
-    # tokens of one component alone come first and need no row
-    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("known", "token"))
     n = F.col("n")
-    placed = rows.join(counts, "token").withColumn("place", place)
-    placed = placed.where(F.col("place") <= n - F.ceil(n * percent / 100) + 1).drop("known")
+    # tokens of one component alone come first and need no row; the others of a set are sorted
+    # in one array, and only its beginning is written
+    known = rows.join(counts, "token").groupBy("node", "component", "n")
+    known = known.agg(F.sort_array(F.collect_list(F.struct("known", "token"))).alias("all"))
+    alone = n - F.size("all")
+    prefix = F.slice("all", F.lit(1), F.greatest(n - F.ceil(n * percent / 100) + 1 - alone, F.lit(0)).cast("int"))
+    known = known.select("node", "component", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "one"))
+    placed = known.select("node", "component", "n", "one.token", (F.col("alone") + F.col("at") + 1).alias("place"))
     placed = stage(placed, "prefixes")
+    release(counts)
 
     # the smaller of two sets has to have more than half of both
     small = placed.where(F.col("place") <= n - F.ceil(n * 2 * percent / (100 + percent)) + 1)
@@ -50,4 +53,6 @@ def crossing_pairs(sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.where(nx * 100 >= ny * percent)
     left = F.least(nx - F.col("px"), ny - F.col("py")) + 1
     pairs = pairs.where(left >= F.ceil((nx + ny) * percent / (100 + percent)))
-    return stage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "crossing")
+    pairs = stage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "crossing")
+    release(placed, met)
+    return pairs
