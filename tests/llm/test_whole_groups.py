@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from rowtide.llm import fuzzy_lines, lsh_forest, mixing, trie_lm
 
 
@@ -92,3 +94,19 @@ def test_stretches_of_the_drawn_blocks(spark):
     taken = sorted(i for p in places for i in p)
     assert len(taken) == len(set(taken)) == 400 and taken[-1] > 800
     assert all(p[0] % 10 == 0 and len(p) % 10 == 0 for p in places)
+
+
+def test_counts_leave_at_a_fixed_size(monkeypatch):
+    monkeypatch.setattr(trie_lm, "HELD", 100)
+    rnd = np.random.default_rng(9)
+    seen = [rnd.integers(0, 400, 60).astype(np.uint64) for _ in range(50)]
+    tally, runs = trie_lm.Tally(), []
+    for keys in seen:
+        runs += tally.add(keys)
+        assert tally.held < 200
+    runs += tally.rest()
+    assert len(runs) > 5 and not list(tally.rest())
+    assert all((np.diff(k.astype(np.int64)) > 0).all() for k, _ in runs)
+    got = trie_lm.summed(*(np.concatenate(x) for x in zip(*runs)))
+    want = np.unique(np.concatenate(seen), return_counts=True)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
