@@ -376,29 +376,29 @@ def _counted(sample: DataFrame, prefix: tuple[str, ...]) -> list:
 def _locate(df: DataFrame, borders: Borders) -> DataFrame:
     """Add the block number: how many borders are at or below the row's key.
 
-    Binary search over constant arrays, one projection per step, which whole-stage
-    code generation turns into straight-line code. Any ascending borders are right,
-    so text is a safe form to pass them in.
+    Binary search over constant arrays, as one expression whose size does not depend on
+    the number of borders: filters that the optimizer moves below it repeat the whole
+    expression, so a step must not name the step before more than once. Any ascending
+    borders are right, so text is a safe form to pass them in.
     """
-    arrays = [
-        F.from_json(F.lit(json.dumps(list(texts))), "array<string>").cast(f"array<{t}>")
-        for texts, t in zip(borders.texts, borders.types)
-    ]
-    if len(arrays) == 1:
-        bounds, key = F.sort_array(arrays[0]), F.col(borders.keys[0])
+    # each read and cast as a whole, so that the borders are a constant, computed once for the plan
+    if len(borders.keys) == 1:
+        text, cells, type_ = list(borders.texts[0]), "string", borders.types[0]
+        key = F.col(quoted(borders.keys[0]))
     else:
-        names = [f"k{i}" for i in range(len(arrays))]
-        zipped = F.arrays_zip(*[a.alias(n) for a, n in zip(arrays, names)])
-        fields = ",".join(f"{n}:{t}" for n, t in zip(names, borders.types))
-        bounds = F.sort_array(zipped.cast(f"array<struct<{fields}>>"))
-        key = F.struct(*[F.col(k).alias(n) for k, n in zip(borders.keys, names)])
-    count = len(borders.texts[0])
-    step = 1 << (count.bit_length() - 1)
-    columns = list(map(quoted, df.columns))
-    df = df.select("*", F.lit(0).alias(BLOCK), bounds.alias("__rt_bounds"), key.alias("__rt_key"))
-    while step:
-        found = f"{BLOCK} + {step} <= {count} and get(__rt_bounds, {BLOCK} + {step - 1}) <= __rt_key"
-        block = f"case when {found} then {BLOCK} + {step} else {BLOCK} end as {BLOCK}"
-        step //= 2
-        df = df.selectExpr(*columns, block, *(["__rt_bounds", "__rt_key"] if step else []))
-    return df
+        names = [f"k{i}" for i in range(len(borders.keys))]
+        text = [dict(zip(names, values)) for values in zip(*borders.texts)]
+        cells = "struct<" + ",".join(f"{n}:string" for n in names) + ">"
+        type_ = "struct<" + ",".join(f"{n}:{t}" for n, t in zip(names, borders.types)) + ">"
+        key = F.struct(*[F.col(quoted(k)).alias(n) for k, n in zip(borders.keys, names)])
+    bounds = F.sort_array(F.from_json(F.lit(json.dumps(text)), f"array<{cells}>").cast(f"array<{type_}>"))
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range(len(borders.texts[0]).bit_length()))])
+
+    def found(value: Column) -> Column:
+        # beyond the last border there is NULL, which is not below the key
+        def further(block: Column, step: Column) -> Column:
+            return F.when(F.get(bounds, block + step - 1) <= value, block + step).otherwise(block)
+
+        return F.aggregate(steps, F.lit(0), further)
+
+    return df.withColumn(BLOCK, F.coalesce(F.get(F.transform(F.array(key), found), F.lit(0)), F.lit(0)))

@@ -240,3 +240,18 @@ def test_few_positions_read_few_blocks(spark):
         20_000,
     )
     assert sorted(r["b"] for r in held.collect()) == [0, 1, 39]
+
+
+@pytest.mark.parametrize("order", ["id", ["user", "id"]])
+def test_plans_do_not_grow_with_the_number_of_borders(spark, order):
+    """The optimizer repeats the block's expression in the filters it moves; borders are constants."""
+    df = spark.range(20_000).selectExpr("id", "id % 3 as user")
+    rows = order_rows(df, order, blocks=2_000)
+    assert len(rows.borders.texts[0]) > 1_000 and len(rows.borders.keys) == (1 if order == "id" else 2)
+    plan = rows.df.where(F.col(BLOCK) > 5)._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("CASE WHEN") <= 2
+    assert "from_json" not in plan.toString() and "arrays_zip" not in plan.toString()
+    by = order if isinstance(order, list) else [order]
+    cuts = sorted(tuple(int(v) for v in values) for values in zip(*rows.borders.texts))
+    for r in rows.df.where("id % 500 = 7").collect():
+        assert r[BLOCK] == sum(cut <= tuple(r[c] for c in by) for cut in cuts)
