@@ -204,12 +204,15 @@ def last_in_blocks(rows: OrderedRows, values: dict[str, str]) -> DataFrame:
     places = block_table(
         rows, *[f"max(case when {e} is not null then {at} end) as {p}" for p, e in zip(spots, values.values())]
     )
-    hits = join_blocks(rows.df, rows, stage(places, "places"), spots, "inner")
+    places = stage(places, "places")
+    hits = join_blocks(rows.df, rows, places, spots, "inner")
     hits = hits.where(" or ".join(f"{at} <=> {p}" for p in spots))
-    return block_table(
+    found = block_table(
         rows.with_df(hits),
         *[f"max_by({e}, case when {at} <=> {p} and {e} is not null then struct({at}) end) as {n}" for p, (n, e) in zip(spots, values.items())],
     )
+    # a block without any value has no hit, but takes on what is carried into it
+    return join_blocks(places.drop(*spots), rows, found, list(values), "left")
 
 
 def _in_two_steps(rows: OrderedRows) -> bool:

@@ -255,3 +255,9 @@ def test_plans_do_not_grow_with_the_number_of_borders(spark, order):
     cuts = sorted(tuple(int(v) for v in values) for values in zip(*rows.borders.texts))
     for r in rows.df.where("id % 500 = 7").collect():
         assert r[BLOCK] == sum(cut <= tuple(r[c] for c in by) for cut in cuts)
+
+
+def test_values_are_carried_through_blocks_without_any(spark, steps):
+    df = spark.range(200).selectExpr("id", "case when id in (3, 120) then id end as v")
+    full = expand_sparse(df, "id", ["v"], blocks=20)
+    assert [r["v"] for r in full.orderBy("id").collect()] == [None] * 3 + [3] * 117 + [120] * 80
