@@ -41,7 +41,7 @@ class BadByte(ValueError):
     """Bytes that are not of the encoding, by their place in the file."""
 
     def __init__(self, path: str, at: int, encoding: str):
-        super().__init__(f"{path}: byte {at} is not {encoding.upper()}")
+        super().__init__(f"{path}: byte {at} is not {encoding.upper()} (encoding {encoding!r})")
         self.at = at
 
 
