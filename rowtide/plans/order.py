@@ -33,6 +33,7 @@ ROWS_PER_BLOCK = 10_000  # below this a table stays in one block
 MAX_BLOCKS = 16_384  # borders are constants of the plan; larger tables have longer blocks, sorted by tasks that spill
 SAMPLES_PER_BLOCK = 20
 COPIES_PER_CHUNK = 1_000
+ROWS_PER_TASK = 500_000  # a larger table gets more tasks for a window, not larger ones
 
 
 @dataclass(frozen=True)
@@ -244,7 +245,7 @@ def fill_forward(rows: OrderedRows, values: dict[str, Column]) -> DataFrame:
     cells = [f"__rt_v{i}" for i in range(len(values))]
     others = [quoted(c) for c in rows.df.columns if c not in values]
     df = rows.df.withColumns(dict(zip(cells, values.values())))
-    local = df.selectExpr(
+    local = dealt(rows, df).selectExpr(
         *others,
         *[f"last({c}, true) {rows.over(UP_TO)} as {quoted(n)}" for n, c in zip(values, cells)],
     )
@@ -257,6 +258,15 @@ def fill_forward(rows: OrderedRows, values: dict[str, Column]) -> DataFrame:
     )
 
 
+def dealt(rows: OrderedRows, df: DataFrame) -> DataFrame:
+    """``df`` shuffled by block as its windows need it, if Spark's own number of tasks would
+    give them more than ``ROWS_PER_TASK`` rows each."""
+    tasks = (rows.total or 0) // ROWS_PER_TASK
+    if rows.single_block or tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(tasks, *[F.col(quoted(c)) for c in rows.group + rows.blocks])
+
+
 def with_previous(rows: OrderedRows, columns: Sequence[str]) -> DataFrame:
     """Add ``PREV``, a struct of the columns in the row above; NULL in the first row."""
     cells = f"struct({sql_list(columns)})"

@@ -1,5 +1,6 @@
 """Memory of a task stays the same as tables grow."""
 
+from rowtide.plans.order import fill_forward
 from rowtide.plans.staging import stage
 from rowtide.sources.recording_writer import write_recordings
 from rowtide.sources.recordings import read_recordings
@@ -27,3 +28,32 @@ def test_one_file_is_sorted_in_pieces(spark, tmp_path, monkeypatch):
         values = [r["value"] for r in got if r["file_path"].endswith(f"/{name}.bin")]
         assert values == [v for v in range(1999, -1, -1) if step(v)]
     assert sorted(p.name for p in tmp_path.iterdir() if p.suffix != ".crc") == ["few.bin", "most.bin"]
+
+
+def test_short_lines_are_filled_in_many_blocks_and_tasks(spark, tmp_path, monkeypatch):
+    """One split with many short lines: neither a block nor a task holds all of them."""
+    from rowtide.plans import order
+    from rowtide.sources import sparse_csv
+
+    seen = []
+
+    def filled(rows, values):
+        blocks = rows.df.groupBy(*rows.group, *rows.blocks).count().collect()
+        seen.append(max(r["count"] for r in blocks))
+        out = fill_forward(rows, values)
+        seen.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(order, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(sparse_csv, "_BLOCK_BITS", 6)
+    monkeypatch.setattr(sparse_csv, "fill_forward", filled)
+    expected, lines, last = [], ["a,b,c"], [None, None, None]
+    for i in range(3000):
+        cells = [i if i % 3 == 0 else "", i if i % 700 == 5 else "", i if i == 2 else ""]
+        last = [c if c != "" else x for c, x in zip(cells, last)]
+        lines.append(",".join(map(str, cells)))
+        expected.append((i, *last))
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    got = sparse_csv.read_sparse_csv(spark, str(tmp_path / "a.csv")).orderBy("row_index")
+    assert [tuple(r) for r in got.collect()] == expected
+    assert seen == [64, 30]
