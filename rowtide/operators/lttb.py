@@ -24,8 +24,8 @@ from rowtide.functions.typing import parsed
 from rowtide.plans.order import order_rows, with_row_index
 from rowtide.plans.staging import stage
 
-_PRUNE_ROWS = 50_000
-_EMIT_ROWS = 500_000
+_PRUNE_ROWS = 20_000
+_EMIT_ROWS = 40_000
 
 
 def lttb(
@@ -103,23 +103,7 @@ def _chained(
     for name, type_ in (("kind", T.IntegerType()), ("points", T.LongType()), ("sx", T.DoubleType()), ("sy", T.DoubleType())):
         schema = schema.add(name, type_)
 
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        rows, limit = 0, _PRUNE_ROWS
-        for pdf in batches:
-            held.append(_with_sums(pdf))
-            rows += len(pdf)
-            if rows >= limit:
-                pruned = _pruned(pd.concat(held, ignore_index=True), groups)
-                held, rows = [pruned], len(pruned)
-                limit = max(_PRUNE_ROWS, 2 * rows)
-                if rows >= _EMIT_ROWS:
-                    yield _for_walk(pruned)
-                    held, rows, limit = [], 0, _PRUNE_ROWS
-        if held:
-            yield _for_walk(_pruned(pd.concat(held, ignore_index=True), groups))
-
-    candidates = stage(points.mapInPandas(prune, schema), "lttb")
+    candidates = stage(points.mapInPandas(lambda batches: pruned_batches(batches, groups), schema), "lttb")
     names = s_cols + k_cols
     parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = candidates.repartition(parts, *s_cols) if s_cols else candidates.repartition(1)
@@ -128,6 +112,24 @@ def _chained(
     return ordered.mapInPandas(lambda batches: walk(batches, names), kept)
 
 
+def pruned_batches(batches: Iterator[pd.DataFrame], groups: list[str]) -> Iterator[pd.DataFrame]:
+    """The points left of a task's rows, given out whenever ``_EMIT_ROWS`` of them are held."""
+    held: list[pd.DataFrame] = []
+    rows, limit = 0, _PRUNE_ROWS
+    for pdf in batches:
+        held.append(_with_sums(pdf))
+        rows += len(pdf)
+        if rows >= limit:
+            pruned = _pruned(pd.concat(held, ignore_index=True), groups)
+            held, rows = [pruned], len(pruned)
+            limit = max(_PRUNE_ROWS, 2 * rows)
+            if rows >= _EMIT_ROWS:
+                yield _for_walk(pruned)
+                held, rows, limit = [], 0, _PRUNE_ROWS
+    if held:
+        yield _for_walk(_pruned(pd.concat(held, ignore_index=True), groups))
+
+
 def _for_walk(pruned: pd.DataFrame) -> pd.DataFrame:
     """Candidates as kind 1, and the sums of each bucket as kind 0 of the bucket before."""
     sums = pruned[(pruned["points"] > 0) & (pruned["b"] > 0)]

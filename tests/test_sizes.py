@@ -1,5 +1,9 @@
 """Memory of a task stays the same as tables grow."""
 
+import numpy as np
+import pandas as pd
+
+from rowtide.operators.lttb import pruned_batches
 from rowtide.plans.order import fill_forward
 from rowtide.plans.staging import stage
 from rowtide.sources.recording_writer import write_recordings
@@ -57,3 +61,17 @@ def test_short_lines_are_filled_in_many_blocks_and_tasks(spark, tmp_path, monkey
     got = sparse_csv.read_sparse_csv(spark, str(tmp_path / "a.csv")).orderBy("row_index")
     assert [tuple(r) for r in got.collect()] == expected
     assert seen == [64, 30]
+
+
+def test_lttb_holds_few_points_of_many_small_series():
+    """Series with hardly a point to prune: a task gives out what it holds in small pieces."""
+    n, step = 400_000, 10_000
+
+    def batches():
+        for at in range(0, n, step):
+            i = np.arange(at, at + step)
+            yield pd.DataFrame({"s0": i // 14, "b": i % 14, "i": i % 14, "x": i.astype(float), "y": (i * 7 % 13).astype(float)})
+
+    out = list(pruned_batches(batches(), ["s0", "b"]))
+    assert sum((o["kind"] == 1).sum() for o in out) == n
+    assert max(map(len, out)) < 200_000
