@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.plans.staging import release, stage
+from rowtide.plans.staging import stage
 
 # what a line does to the state; 2 and 3 fix it
 _KEEP, _SWAP, _OUTSIDE, _INSIDE = range(4)
@@ -47,12 +47,14 @@ def _effect(line: str, delimiter: str, quote: str) -> int:
     return {(False, True): _KEEP, (True, False): _SWAP, (False, False): _OUTSIDE, (True, True): _INSIDE}[ends]
 
 
-def joined_records(lines: DataFrame, delimiter: str, quote: str, line_break: str) -> DataFrame:
+def joined_records(lines: DataFrame, delimiter: str, quote: str, line_break: str) -> tuple[DataFrame, list[DataFrame]]:
     """``file``, ``block``, ``pos``, ``value`` of the records made of lines with the same columns.
 
     A record stands where its first line does; ``pos`` counts up by one in a split. A
     carriage return before the break at the end of a record goes, those within stay.
-    A record is held in memory whole.
+    A record is held in memory whole. The second result are written tables, to be
+    released after the last use of the records. The texts are written once and travel
+    once, to the windows of their split.
     """
 
     @F.pandas_udf("int")
@@ -64,14 +66,9 @@ def joined_records(lines: DataFrame, delimiter: str, quote: str, line_break: str
     order = "over (partition by file, block order by pos)"
     before, up_to = (f"{order[:-1]} rows between unbounded preceding and {end})" for end in ("1 preceding", "current row"))
     fixed = "last(case when effect >= 2 then struct(effect - 2 as state, swaps) end, true)"
-    marked = kept.selectExpr("*", f"sum(int(effect = 1)) {up_to} as swaps")
-    # the state is fixed & 1 xor the swaps since; NULL where only the split's begin fixes it
-    state = "({fixed}.state + {swaps} - {fixed}.swaps) % 2"
-    marked = marked.selectExpr("*", f"{fixed} {before} as last_fixed", f"coalesce(lag(swaps) {order}, 0) as swaps_before")
-    marked = marked.withColumn("known", F.expr(state.format(fixed="last_fixed", swaps="swaps_before")))
 
     place = "struct(pos, swaps)"
-    splits = kept.selectExpr("*", f"sum(int(effect = 1)) {up_to} as swaps").groupBy("file", "block").agg(
+    splits = kept.selectExpr("file", "block", "pos", "effect", f"sum(int(effect = 1)) {up_to} as swaps").groupBy("file", "block").agg(
         F.expr("max_by(struct(effect - 2 as state, swaps), case when effect >= 2 then pos end)").alias("own_fixed"),
         F.expr(f"max({place}).swaps").alias("all_swaps"),
     )
@@ -83,26 +80,32 @@ def joined_records(lines: DataFrame, delimiter: str, quote: str, line_break: str
     begin = "coalesce((last_end.end_state + turned - last_end.turned_here) % 2, coalesce(turned, 0) % 2)"
     splits = stage(splits.selectExpr("file", "block", f"{begin} as begin_state"), "csv-splits")
 
-    rows = marked.join(splits, ["file", "block"])
-    rows = rows.withColumn("inside", F.expr("coalesce(known, (begin_state + swaps_before) % 2) = 1"))
-    ends = "case effect when 0 then inside when 1 then not inside else effect = 3 end"
-    rows = rows.selectExpr("file", "block", "pos", "value", "inside", f"{ends} as goes_on")
-    rows = rows.withColumn("record", F.expr(f"sum(int(not inside)) {up_to} - 1"))
-    rows = stage(rows, "csv-states")
-    whole = rows.where("not inside and not goes_on").selectExpr("file", "block", "record as pos", "value")
+    def stated(rows: DataFrame) -> DataFrame:
+        """The lines with ``inside``, their state at the begin, and ``record``, the number of the record in the split."""
+        marked = rows.selectExpr("*", f"sum(int(effect = 1)) {up_to} as swaps")
+        # the state is fixed & 1 xor the swaps since; NULL where only the split's begin fixes it
+        state = "({fixed}.state + {swaps} - {fixed}.swaps) % 2"
+        marked = marked.selectExpr("*", f"{fixed} {before} as last_fixed", f"coalesce(lag(swaps) {order}, 0) as swaps_before")
+        marked = marked.withColumn("known", F.expr(state.format(fixed="last_fixed", swaps="swaps_before")))
+        marked = marked.join(splits, ["file", "block"])
+        marked = marked.withColumn("inside", F.expr("coalesce(known, (begin_state + swaps_before) % 2) = 1"))
+        return marked.withColumn("record", F.expr(f"sum(int(not inside)) {up_to} - 1"))
+
     # lines that go on from an earlier split belong to the last record that begins before
-    begun = rows.groupBy("file", "block").agg(F.max("record").alias("last"))
+    begun = stated(kept.select("file", "block", "pos", "effect")).groupBy("file", "block").agg(F.max("record").alias("last"))
     earlier = f"last(case when last >= 0 then struct(block, last) end, true) {across}"
-    begun = stage(begun.selectExpr("file", "block", f"{earlier} as owner"), "csv-owners")
-    parts = rows.where("inside or goes_on").join(begun, ["file", "block"])
-    parts = parts.selectExpr(
-        "file", "case when record < 0 then owner.block else block end as of_block",
-        "case when record < 0 then owner.last else record end as of_record", "struct(block, pos, value) as part",
+    begun = stage(begun.selectExpr("file", "block", "last", f"{earlier} as owner"), "csv-owners")
+    parts = stated(kept).join(begun, ["file", "block"])
+    parts = parts.selectExpr("file", "block", "record", "last", "owner", "struct(block, pos, value) as part")
+    # only a split's last record and what stands before its first one can have lines of other splits
+    inner = parts.where("record >= 0 and record < last").groupBy("file", "block", "record")
+    inner = inner.agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    outer = parts.where("record < 0 or record = last").selectExpr(
+        "file", "case when record < 0 then owner.block else block end as block",
+        "case when record < 0 then owner.last else record end as record", "part",
     )
-    together = parts.groupBy("file", "of_block", "of_record").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    together = together.select(
-        "file", F.col("of_block").alias("block"), F.col("of_record").alias("pos"), F.array_join("parts.value", line_break).alias("value")
+    outer = outer.groupBy("file", "block", "record").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    records = inner.unionByName(outer).select(
+        "file", "block", F.col("record").alias("pos"), F.array_join("parts.value", line_break).alias("value")
     )
-    records = stage(whole.unionByName(together).withColumn("value", F.regexp_replace("value", "\r$", "")), "csv-records")
-    release(kept, splits, begun, rows)
-    return records
+    return records.withColumn("value", F.regexp_replace("value", "\r$", "")), [kept, splits, begun]

@@ -75,3 +75,19 @@ def test_lttb_holds_few_points_of_many_small_series():
     out = list(pruned_batches(batches(), ["s0", "b"]))
     assert sum((o["kind"] == 1).sum() for o in out) == n
     assert max(map(len, out)) < 200_000
+
+
+def test_texts_of_quoted_records_are_written_once(spark, tmp_path, monkeypatch):
+    from rowtide.sources import quoted_records, sparse_csv
+
+    with_text = []
+
+    def staged(df, label):
+        with_text.extend([label] if "value" in df.columns else ())
+        return stage(df, label)
+
+    monkeypatch.setattr(quoted_records, "stage", staged)
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,"\n"\n"3",z\n')
+    got = sparse_csv.read_sparse_csv(spark, str(tmp_path / "a.csv"), multi_line=True, inherit="empty").orderBy("row_index")
+    assert [tuple(r) for r in got.collect()] == [(0, 1, "x\ny"), (1, 2, "\n"), (2, 3, "z")]
+    assert with_text == ["csv-lines"]
