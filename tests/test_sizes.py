@@ -1,8 +1,11 @@
 """Memory of a task stays the same as tables grow."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 
+from rowtide.llm.elias_fano import EliasFano
 from rowtide.operators.lttb import pruned_batches
 from rowtide.plans.order import fill_forward
 from rowtide.plans.staging import stage
@@ -103,3 +106,18 @@ def test_sparse_files_follow_the_block_numbers(spark, tmp_path, monkeypatch):
     files = [p.read_text().split()[1:] for p in sorted((tmp_path / "out").glob("part-*"))]
     assert len(files) == 25 and max(map(len, files)) < 2500
     assert [int(line.split(",")[0]) for f in files for line in f] == list(range(25_000))
+
+
+def test_elias_fano_takes_numbers_apart_in_runs():
+    """Sequences longer than a run read back, in a few bytes of memory a number."""
+    for n, universe in ((400_001, 300_000), (300_003, 1 << 44), (7, 1000), (0, 5)):
+        values = np.sort(np.random.default_rng(n).integers(0, universe, n))
+        tracemalloc.start()
+        arrays = EliasFano.arrays("x", values, universe)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 14 * n + 12_000_000
+        found = EliasFano(arrays, "x")
+        assert (found.access(np.arange(n)) == values).all()
+        whole = np.zeros(n, np.int64), np.full(n, n)
+        assert (found.successor(values, *whole) == np.searchsorted(values, values)).all()
