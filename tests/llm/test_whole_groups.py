@@ -1,5 +1,6 @@
 """Crowded groups: what shares most of a template is linked exactly where it is alike."""
 
+import os
 import random
 
 import numpy as np
@@ -110,3 +111,18 @@ def test_counts_leave_at_a_fixed_size(monkeypatch):
     got = trie_lm.summed(*(np.concatenate(x) for x in zip(*runs)))
     want = np.unique(np.concatenate(seen), return_counts=True)
     assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_shards_of_the_trie_hold_their_own_contexts_only(spark):
+    rnd = random.Random(10)
+    texts = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(200)) for _ in range(250)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def level_bytes(shard_bytes):
+        files = trie_lm.train(df, shard_bytes=shard_bytes)
+        uris = [u for shards, _, _ in files.levels for u in shards if u]
+        return len(uris), sum(os.path.getsize(u.removeprefix("file://")) for u in uris)
+
+    (one, whole), (many, dealt) = level_bytes(1 << 30), level_bytes(1 << 14)
+    assert (one, many) == (2, 64)
+    assert dealt < 1.6 * whole
