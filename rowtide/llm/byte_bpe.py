@@ -19,6 +19,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,15 +171,24 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def id_lists(texts: pa.Array, bpe: ByteBpe) -> pa.Array:
+    """The texts' ids as lists, none for NULL; one text at a time is taken out of Arrow's bytes."""
+    found, ends = bytearray(), [0]
+    for text in texts:
+        found += bpe.text_ids(text.as_py() or "")
+        ends.append(len(found) // 4)
+    ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+
+
 def tokenize(
     documents: DataFrame, path: str, pattern: str, text_column: str = "text", name: str = "token_ids"
 ) -> DataFrame:
     """The rows with their text's ids added as an array of integers; a NULL text has none."""
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        bpe = byte_bpe(path, pattern)
-        return pd.Series([np.frombuffer(bpe.text_ids(t or ""), dtype="<u4").astype(np.int32) for t in texts])
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        return id_lists(texts, byte_bpe(path, pattern))
 
     return documents.withColumn(name, ids(column(documents, text_column, "string")))
 

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from rowtide.llm.elias_fano import EliasFano
 from rowtide.operators.lttb import pruned_batches
@@ -121,3 +122,20 @@ def test_elias_fano_takes_numbers_apart_in_runs():
         assert (found.access(np.arange(n)) == values).all()
         whole = np.zeros(n, np.int64), np.full(n, n)
         assert (found.successor(values, *whole) == np.searchsorted(values, values)).all()
+
+
+def test_ids_of_a_batch_take_one_text_at_a_time():
+    """Texts with wide characters take four bytes for each; a batch of them is not held as strings."""
+    from rowtide.llm.byte_bpe import id_lists
+
+    class Encoder:
+        def text_ids(self, text):
+            return len(text).to_bytes(4, "little") * 2 if text else b""
+
+    texts = pa.array(["\U0001f600" + "a" * 20_000, None, ""] * 500)
+    tracemalloc.start()
+    got = id_lists(texts, Encoder())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+    assert got.to_pylist() == [[20_001, 20_001], [], []] * 500
