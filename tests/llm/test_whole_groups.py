@@ -1,10 +1,15 @@
 """Crowded groups: what shares most of a template is linked exactly where it is alike."""
 
 import random
+import re
+import time
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from rowtide.llm import fuzzy_lines, lsh_forest, mixing, trie_lm
+from rowtide.plans import staging
 
 
 def jaccard(a, b):
@@ -121,3 +126,23 @@ def test_shards_of_the_trie_hold_their_own_contexts_only(spark):
     shards = [s for level in model.levels for s in level if s]
     assert len(shards) == 64
     assert all(s.pointers.n <= s.words.n + 1 for s in shards)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {m.group() for m in re.finditer(r"shuffle_\d+_\d+_\d+[.]data", blocks.mkString(" "))}
+
+    before, asked = shuffles(), spark.conf.get(staging.CLEANUP)
+    rows = spark.range(100_000).groupBy((F.col("id") % 1000).alias("g")).agg(F.count("id").alias("n"))
+    written = staging.stage(rows.repartition(8, "n"), "test-shuffles")
+    left = shuffles() - before
+    for _ in range(50):  # they are removed in the background
+        if not left:
+            break
+        time.sleep(0.2)
+        left = shuffles() - before
+    assert not left
+    assert written.count() == 1000
+    assert spark.conf.get(staging.CLEANUP) == asked
+    staging.release(written)
