@@ -146,3 +146,19 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert written.count() == 1000
     assert spark.conf.get(staging.CLEANUP) == asked
     staging.release(written)
+
+
+def test_bands_begin_at_borders(spark):
+    """Also where a hash is the border itself, and where regions stay empty."""
+    rnd = random.Random(14)
+    borders = fuzzy_lines._borders()
+    sets = [[], [5], [-(2**31)], [2**31 - 1], borders, [b - 1 for b in borders], sorted([*borders, *(b - 1 for b in borders)])]
+    sets += [sorted({rnd.randrange(-(2**31), 2**31) for _ in range(n)}) for n in (2, 15, 16, 17, 40, 300)]
+    sets += [sorted({rnd.randrange(0, 2**29) for _ in range(60)})]
+    df = spark.createDataFrame([(i, [x, []]) for i, x in enumerate(sets)], "hash long, sketch array<array<int>>")
+    few = {r["hash"]: r["bands"] for r in fuzzy_lines._all_bands(df).collect()}
+    first = {r["hash"]: r["b"] for r in df.select("hash", fuzzy_lines._bands(F.col("sketch")).alias("b")).collect()}
+    for i, x in enumerate(sets):
+        regions = len({(v + 2**31) * fuzzy_lines.REGIONS >> 32 for v in x})
+        assert len(first[i]) == regions and set(first[i]) <= set(few[i])
+        assert len(few[i]) == (len(x) if len(x) <= fuzzy_lines.FEW else regions)
